@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidra.llm import sentencepiece_codec
+from evidra.llm import license_scan, line_dedup, mixing, nearest, quality_rules, secret_scan, sentencepiece_codec, token_files, weak_label
 
 PIECE_MODEL = "piece_bpe_32k.model"
-WORD_MODEL = "word_bpe_49k.json"
+WORD_VOCABULARY = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +20,41 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(_table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
+
+
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.report(_table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op9_weak_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return weak_label.classify(docs, weak_label.train(docs))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_sentencepiece": op1_sentencepiece,
-}
-ORACLE: dict[str, str] = {}
+    f.__name__: f for f in (op1_sentencepiece, op2_line_dedup, op3_nearest, op4_license_scan, op5_token_files, op6_secret_scan, op7_quality_rules, op9_weak_label, op10_mixing)
+}
+ORACLE: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op4_license_scan": license_scan.ORACLE_SQL}
