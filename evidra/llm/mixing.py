@@ -33,6 +33,8 @@ from evidra.llm.shared import Scratch
 MAX_LEAVES = 100_000
 #: Documents of a range of a leaf's order, about.
 RANGE_ROWS = 2_000
+#: Taken documents whose ids may be broadcast.
+BROADCAST = 500_000
 
 
 @dataclass
@@ -162,6 +164,9 @@ def select(docs: DataFrame, plan: Plan, id_column: str = "doc_id", text: str = "
 def mix(docs: DataFrame, plan: Plan, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs as often as they are taken, with all their columns."""
     taken = select(docs, plan, id_column, text).where("__evidra_copies > 0").groupBy("__evidra_id", "__evidra_tie").agg(F.max("__evidra_copies").alias("__evidra_copies"))
+    taken = Scratch(docs.sparkSession, "taken").keep(taken)
+    if taken.count() <= BROADCAST:
+        taken = F.broadcast(taken)
     own = docs.withColumn("__evidra_mine", F.col(id_column).cast("long")).withColumn("__evidra_text", F.xxhash64(F.col(text).cast("string")))
     on = F.col("__evidra_mine").eqNullSafe(F.col("__evidra_id")) & (F.col("__evidra_text") == F.col("__evidra_tie"))
     kept = own.join(taken, on)

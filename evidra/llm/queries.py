@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidra.llm import license_scan, line_dedup, mixing, nearest, quality_rules, secret_scan, sentencepiece_codec, token_files, weak_label
+from evidra.llm import license_scan, line_dedup, mixing, nearest, ngram_join, quality_rules, secret_scan, sentencepiece_codec, token_files, weak_label
 
 PIECE_MODEL = "piece_bpe_32k.model"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -45,6 +45,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op9_weak_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return weak_label.classify(docs, weak_label.train(docs))
@@ -55,6 +59,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_line_dedup, op3_nearest, op4_license_scan, op5_token_files, op6_secret_scan, op7_quality_rules, op9_weak_label, op10_mixing)
+    f.__name__: f for f in (op1_sentencepiece, op2_line_dedup, op3_nearest, op4_license_scan, op5_token_files, op6_secret_scan, op7_quality_rules, op8_ngram_join, op9_weak_label, op10_mixing)
 }
-ORACLE: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op4_license_scan": license_scan.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op4_license_scan": license_scan.ORACLE_SQL, "op8_ngram_join": ngram_join.ORACLE_SQL}

@@ -6,7 +6,7 @@ accuracies without any true label. The posteriors of a bounded sample of documen
 parameter, those with the smallest hashes of id and text) train a linear scorer on hashed features of the whole text,
 and the scorer rates every document, also where all labellers abstain.
 
-Defined cases: a null or empty text is bad by the length labeller and scored like any text; a document without id
+Defined cases: a null or empty text gets no bad vote and is scored by the bias alone; a document without id
 is scored; repeated rows are scored one by one; texts with equal hashes are sampled together and cut at
 the bound; an empty table gives an empty table and needs no model; other columns are not read.
 """
@@ -30,27 +30,29 @@ SAMPLE = 4000
 BUCKETS = 1 << 16
 #: Least score of a kept document.
 LEAST = 0.5
-#: For each labeller: a statistic, the side and limit of a bad vote, the side and limit of a good vote.
-LABELLERS = {
-    "length": (lambda s: s["n_words"], ("<", 10), (">", 60)),
-    "symbols": (lambda s: s["symbol_share"], (">", 0.05), ("<", 0.01)),
-    "lines": (lambda s: s["dup_line_share"], (">", 0.4), ("<", 0.1)),
-    "windows": (lambda s: s["repeat_share"], (">", 0.5), ("<", 0.2)),
-    "same": (lambda s: s["same_share"], (">", 0.15), ("<", 0.05)),
-    "case": (lambda s: s["upper_share"], (">", 0.4), ("<", 0.1)),
-    "points": (lambda s: s["point_share"], (">", 0.2), ("<", 0.12)),
-    "word_length": (lambda s: s["word_length"], (">", 14), ("<", 10)),
-}
+#: Detectors: each votes bad above its limit and says nothing otherwise.
+DETECTORS = {"symbol_share": 0.04, "dup_line_share": 0.4, "repeat_share": 0.5, "same_share": 0.15, "upper_share": 0.4, "point_share": 0.2, "word_length": 14.0}
+#: Two general labellers overlap with them: ``plain`` looks at characters, ``clean`` at everything. Each votes bad if one
+#: of its statistics is above the detector's limit, good if all are below this share of it, and else nothing.
+CALM = 0.6
+#: Below so many words no detector votes.
+LEAST_WORDS = 8
+PLAIN = ("symbol_share", "upper_share", "point_share")
+LABELLERS = [*DETECTORS, "plain", "clean"]
 
 
 def votes(s: pd.DataFrame) -> np.ndarray:
     """Documents by labellers: 1, 0, or -1 for none."""
-    side = {"<": np.less, ">": np.greater}
     out = np.full((len(s), len(LABELLERS)), -1, np.int8)
-    for j, (stat, bad, good) in enumerate(LABELLERS.values()):
-        v = stat(s).to_numpy(float)
-        out[side[good[0]](v, good[1]), j] = 1
-        out[side[bad[0]](v, bad[1]), j] = 0
+    # Shares of a few words say little.
+    enough = (s["n_words"] >= LEAST_WORDS).to_numpy()
+    over = {f: (s[f] > limit).to_numpy() & enough for f, limit in DETECTORS.items()}
+    calm = {f: (s[f] <= CALM * limit).to_numpy() for f, limit in DETECTORS.items()}
+    for j, f in enumerate(DETECTORS):
+        out[over[f], j] = 0
+    for j, own in ((len(DETECTORS), PLAIN), (len(DETECTORS) + 1, tuple(DETECTORS))):
+        out[np.logical_and.reduce([calm[f] for f in own]), j] = 1
+        out[np.logical_or.reduce([over[f] for f in own]), j] = 0
     return out
 
 
@@ -175,7 +177,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
                 found, n = np.unique(key, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["pattern", "n"])
 
-    # At most 3 ** 8 patterns.
+    # At most 3 ** 9 patterns.
     rows = own.select("text").mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     if not rows:
         return None
