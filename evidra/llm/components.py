@@ -6,10 +6,7 @@ most. Neither edges nor nodes are ever collected.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,33 +31,22 @@ def labels_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of a batch as stars of their components."""
-    for batch in batches:
-        if batch.num_rows:
-            nodes, label = labels_of(batch.column("a").to_numpy(), batch.column("b").to_numpy())
-            own = nodes != label
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(label[own])], names=["a", "b"])
-
-
 def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
     """Every node of the edges (a, b: long) that isn't the least of its component, and that least node as label."""
-    spark = edges.sparkSession
-    e = scratch.keep(edges.select("a", "b").where("a <> b").mapInArrow(_contract, "a long, b long").distinct(), "edges")
-    mark = None
+    e = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(most):
+        # Stars, in which no centre is a ray, are components: each has all its nodes on one centre.
+        rays = e.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("a").alias("distinct")).first()
+        if rays["n"] == rays["distinct"] and e.select(F.col("b").alias("a")).join(e.select("a"), "a", "left_semi").isEmpty():
+            return e.select(F.col("a").alias("node"), F.col("b").alias("label"))
         # Every larger neighbour of a node goes to the least node near it ...
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # ... then every smaller neighbour and the node itself.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         before = scratch.last
-        e = scratch.keep(small.mapInArrow(_contract, "a long, b long").distinct(), "edges")
+        e = scratch.keep(small.distinct(), "edges")
         scratch.drop(before)
-        now = tuple(e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.count_distinct("a")).first())
-        if now == mark and now[0] == now[2]:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        mark = now
     raise RuntimeError(f"components didn't settle in {most} rounds")
