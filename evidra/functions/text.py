@@ -159,7 +159,7 @@ def embedding_input(header: Column, text: Column) -> Column:
 def strip_line_noise(c: Column) -> Column:
     """Without a trailing run of six digits or more that has two different digits at most."""
     run = F.regexp_extract(c, "([0-9]{6,})\\s*$", 1)
-    few = F.size(F.array_distinct(F.split(run, "(?!^)"))) <= 2
+    few = F.size(F.array_distinct(F.filter(F.split(run, ""), lambda x: x != ""))) <= 2
     return F.when((run != "") & few, F.rtrim(F.regexp_replace(c, "[0-9]{6,}\\s*$", ""))).otherwise(c)
 
 

@@ -35,7 +35,7 @@ def dense(vectors: DataFrame, questions: DataFrame, top_k: int = 40) -> DataFram
     v = vectors.select("id", F.col("vector").cast("array<double>").alias("v")).withColumn("v_norm", norm(F.col("v")))
     q = questions.select("query_id", F.col("vector").cast("array<double>").alias("q")).withColumn("q_norm", norm(F.col("q")))
     pairs = v.join(F.broadcast(q), F.size("v") == F.size("q"))
-    scored = pairs.select("query_id", "id", (dot(F.col("v"), F.col("q")) / (F.col("v_norm") * F.col("q_norm"))).alias("score"))
+    scored = pairs.select("query_id", "id", F.try_divide(dot(F.col("v"), F.col("q")), F.col("v_norm") * F.col("q_norm")).alias("score"))
     return top(scored.where("score is not null"), top_k)
 
 

@@ -48,4 +48,4 @@ def auroc(scores: DataFrame) -> DataFrame:
     inside = Window.partitionBy("bin").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     below = binned.join(F.broadcast(before), "bin").withColumn("below", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
     wins = F.sum(F.col("p") * (F.col("below") + F.col("n") * 0.5))
-    return below.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.round(wins / (F.sum("p") * F.sum("n")), 4).alias("auroc"))
+    return below.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.round(F.try_divide(wins, F.sum("p") * F.sum("n")), 4).alias("auroc"))
