@@ -52,6 +52,9 @@ class Corpus:
         kept = kept.join(made.select("version_id").distinct(), "version_id", "left_anti")
         write_artifacts(made, arrived, f"{self.root}/artifacts")
         self.store.write("chunks", kept.unionByName(made), ["document_id"])
+        # Else a later run over changed files would find these rows in the cache.
+        made.unpersist()
+        read.unpersist()
         missing = read.where("pages is null").select("document_id", F.lit("missing_file").alias("status"))
         out = fresh.where("status is not null").select("document_id", "status").unionByName(missing)
         return out
