@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from evidra.plans import catalogue
@@ -21,7 +22,7 @@ def duck():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    out = [tuple(None if v is None or v != v else v.item() if hasattr(v, "item") else v for v in r) for r in frame.itertuples(index=False)]
+    out = [tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in r) for r in frame.itertuples(index=False)]
     return sorted(out, key=repr)
 
 
