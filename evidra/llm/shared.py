@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +66,34 @@ def vocabulary(name_or_path: str) -> str:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+#: Bytes of text that a Python worker works on at once.
+PART_BYTES = 1_500_000
+
+
+def text_parts(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PART_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of batches with their texts, null ones as empty: so many bytes of text at once, or one text.
+
+    A batch has thousands of rows, and its texts as Python strings would stay in the worker's memory, which outlives
+    the task; what was used is given back to the system at the end.
+    """
+    for batch in batches:
+        at = batch.schema.names.index(column)
+        size = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, a = np.cumsum(size), 0
+        while a < len(size):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, side="right")))
+            part = batch.slice(a, b - a)
+            yield part, [t or "" for t in part.column(at).to_pylist()]
+            a = b
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidra.llm.quality_rules import statistics
-from evidra.llm.sentencepiece_codec import slices
+from evidra.llm.shared import text_parts
 
 #: Documents whose posteriors train the scorer, at most.
 SAMPLE = 4000
@@ -134,18 +134,17 @@ def rate(texts: list[str], weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-raw))
 
 
-def fit_scorer(texts: list[str], good: np.ndarray, buckets: int = BUCKETS, rounds: int = 300, pace: float = 0.3, ridge: float = 1e-6) -> np.ndarray:
+def summed(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal features of a text added up, by row and bucket."""
+    key, inverse = np.unique(row * buckets + bucket, return_inverse=True)
+    return key // buckets, key % buckets, np.bincount(inverse, weights=value, minlength=len(key))
+
+
+def fit_scorer(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, good: np.ndarray, buckets: int = BUCKETS, rounds: int = 300, pace: float = 0.3, ridge: float = 1e-6) -> np.ndarray:
     """Logistic regression on soft labels by AdaGrad over the whole sample in each round.
 
     Both classes weigh the same, so that a rare class isn't drowned.
     """
-    parts = [(a, hashed(texts[a:b], buckets)) for a, b in slices(texts)]
-    row = np.concatenate([p[0] + a for a, p in parts])
-    bucket, value = np.concatenate([p[1] for _, p in parts]), np.concatenate([p[2] for _, p in parts])
-    # Equal features of a text are summed once, so that rounds are short.
-    key, inverse = np.unique(row * buckets + bucket, return_inverse=True)
-    value = np.bincount(inverse, weights=value)
-    row, bucket = key // buckets, key % buckets
     w, seen = np.zeros(buckets + 1), np.full(buckets + 1, 1e-8)
     weight = good / max(good.sum(), 1e-9) + (1 - good) / max((1 - good).sum(), 1e-9)
     weight *= len(good) / weight.sum()
@@ -169,13 +168,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in slices(texts):
-                v = votes(statistics(texts[a:b])).astype(np.int64) + 1
-                key = v @ (3 ** np.arange(v.shape[1], dtype=np.int64))
-                found, n = np.unique(key, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["pattern", "n"])
+        for _, texts in text_parts(batches):
+            v = votes(statistics(texts)).astype(np.int64) + 1
+            key = v @ (3 ** np.arange(v.shape[1], dtype=np.int64))
+            found, n = np.unique(key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["pattern", "n"])
 
     # At most 3 ** 9 patterns.
     rows = own.select("text").mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
@@ -188,9 +185,20 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     # The sample has a fixed bound of ids; only their texts are then read.
     place = F.xxhash64("doc_id", F.xxhash64("text"))
     chosen = own.select(place.alias("place")).orderBy("place").limit(sample).distinct()
-    texts = [r["text"] for r in own.join(F.broadcast(chosen), place == F.col("place"), "left_semi").select("text", place.alias("p")).dropDuplicates(["p"]).orderBy("p").select("text").toLocalIterator()]
-    good = np.concatenate([labels.posterior(votes(statistics(texts[a:b]))) for a, b in slices(texts)])
-    return Model(labels, fit_scorer(texts, good))
+    told = docs.sparkSession.sparkContext.broadcast(labels)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_parts(batches):
+            row, bucket, value = summed(*hashed(texts))
+            ends = pa.array(np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32))
+            good = told.value.posterior(votes(statistics(texts)))
+            yield pa.RecordBatch.from_arrays([part.column("place"), pa.array(good), pa.ListArray.from_arrays(ends, pa.array(bucket.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(value.astype(np.float32)))], names=["place", "good", "bucket", "value"])
+
+    some = own.join(F.broadcast(chosen), place == F.col("place"), "left_semi").select(place.alias("place"), "text").dropDuplicates(["place"])
+    rows = some.mapInArrow(features, "place long, good double, bucket array<int>, value array<float>").toPandas().sort_values("place")
+    size = rows["bucket"].map(len).to_numpy()
+    flat = lambda c, kind: np.concatenate([*rows[c], np.zeros(0)]).astype(kind)
+    return Model(labels, fit_scorer(np.repeat(np.arange(len(rows)), size), flat("bucket", np.int64), flat("value", float), rows["good"].to_numpy()))
 
 
 def classify(docs: DataFrame, model: Model | None, least: float = LEAST) -> DataFrame:
@@ -198,12 +206,10 @@ def classify(docs: DataFrame, model: Model | None, least: float = LEAST) -> Data
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in slices(texts):
-                score = rate(texts[a:b], held.value.weights)
-                post = held.value.labels.posterior(votes(statistics(texts[a:b])))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(post), pa.array(score), pa.array(score >= least)], names=["doc_id", "posterior", "score", "kept"])
+        for part, texts in text_parts(batches):
+            score = rate(texts, held.value.weights)
+            post = held.value.labels.posterior(votes(statistics(texts)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(post), pa.array(score), pa.array(score >= least)], names=["doc_id", "posterior", "score", "kept"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(run, "doc_id long, posterior double, score double, kept boolean")
