@@ -157,21 +157,30 @@ def gather(table: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.ndarr
 
 
 class WordCache:
-    """Codes of words seen before, at most so many; beyond that it begins anew."""
+    """Codes of words seen before, at most so many, in two generations.
 
-    def __init__(self, code, limit: int = 600_000):
-        self.code, self.limit, self.seen = code, limit, {}
+    Once the younger one is full it becomes the older one, and the older one goes; words looked up again
+    move to the younger one, so frequent words stay.
+    """
+
+    def __init__(self, code, limit: int):
+        self.code, self.half = code, limit // 2
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def look_up(self, words: list[str]) -> list[bytes]:
         """The codes of words as little-endian int32 bytes; code(list of distinct words) gives those not seen."""
-        seen = self.seen
-        new = [w for w in set(words) if w not in seen]
-        if new:
-            if len(seen) + len(new) > self.limit:
-                seen.clear()
-                new = list(set(words))
-            seen.update(zip(new, self.code(new)))
-        return list(map(seen.__getitem__, words))
+        young, old = self.young, self.old
+        new = [w for w in set(words) if w not in young]
+        if new and len(young) + len(new) > self.half:
+            self.old, self.young = old, young = young, {}
+            new = list(set(words))
+        again = [w for w in new if w in old]
+        young.update(zip(again, map(old.__getitem__, again)))
+        if len(again) < len(new):
+            fresh = [w for w in new if w not in old]
+            young.update(zip(fresh, self.code(fresh)))
+        return list(map(young.__getitem__, words))
 
 
 def split_bytes(flat: np.ndarray, counts: np.ndarray) -> list[bytes]:

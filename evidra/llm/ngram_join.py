@@ -33,8 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidra.llm.components import components, labels_of
-from evidra.llm.sentencepiece_codec import slices
-from evidra.llm.shared import Scratch, shuffle_partitions
+from evidra.llm.shared import Scratch, give_back, shuffle_partitions, text_parts
 
 #: Bytes of the table of counts, at most; it is broadcast.
 TABLE_BITS = 25
@@ -88,10 +87,8 @@ def shingles(texts: list[str], width: int) -> list[np.ndarray]:
 
 
 def _each(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for a, b in slices(texts):
-            yield batch.slice(a, b - a), shingles([t or "" for t in texts[a:b]], width)
+    for part, texts in text_parts(batches):
+        yield part, shingles(texts, width)
 
 
 def _least(n, percent: int):
@@ -285,6 +282,7 @@ def _verify(docs: DataFrame, families: DataFrame, sizes: DataFrame, width: int,
             out_a.append(a)
             out_b.append(b)
         none = np.zeros(0, np.int64)
+        give_back()
         return pd.DataFrame({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
 
     return rows.groupBy("bin").applyInPandas(check, "a long, b long"), (told["chunks"] or 1) > 1

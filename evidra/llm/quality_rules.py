@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidra.llm.boosted_trees import BoostedTrees, fit
-from evidra.llm.sentencepiece_codec import slices
+from evidra.llm.shared import text_parts
 
 #: Labelled documents to train on, at most.
 SAMPLE = 6000
@@ -115,12 +115,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> BoostedTr
     own = texts.join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = batch.column("text").to_pylist()
-            for a, b in slices(held):
-                s = statistics([t or "" for t in held[a:b]])
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), *(pa.array(s[f].to_numpy(float)) for f in FEATURES)], names=["doc_id", "quality", *FEATURES])
+        for part, held in text_parts(batches):
+            s = statistics(held)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), *(pa.array(s[f].to_numpy(float)) for f in FEATURES)], names=["doc_id", "quality", *FEATURES])
 
     schema = "doc_id long, quality int, " + ", ".join(f"{f} double" for f in FEATURES)
     rows = own.mapInArrow(run, schema).groupBy("doc_id").agg(F.min("quality").alias("quality"), *(F.min(f).alias(f) for f in FEATURES)).toPandas().sort_values("doc_id")
@@ -141,12 +138,10 @@ def judge(docs: DataFrame, trees: BoostedTrees | None) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in slices(texts):
-                s = statistics([t or "" for t in texts[a:b]])
-                score, kept = verdict(s, held.value)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *(pa.array(s[c].to_numpy(np.int64)) for c in COUNTS), pa.array(base_failed(s)), pa.array(kept), pa.array(score)], names=["doc_id", *COUNTS, "base_failed", "kept", "score"])
+        for part, texts in text_parts(batches):
+            s = statistics(texts)
+            score, kept = verdict(s, held.value)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(s[c].to_numpy(np.int64)) for c in COUNTS), pa.array(base_failed(s)), pa.array(kept), pa.array(score)], names=["doc_id", *COUNTS, "base_failed", "kept", "score"])
 
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, score double"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
@@ -157,10 +152,8 @@ def keep(docs: DataFrame, trees: BoostedTrees | None) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.names.index("text")).to_pylist()
-            for a, b in slices(texts):
-                _, kept = verdict(statistics([t or "" for t in texts[a:b]]), held.value)
-                yield batch.slice(a, b - a).filter(pa.array(kept))
+        for part, texts in text_parts(batches):
+            _, kept = verdict(statistics(texts), held.value)
+            yield part.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidra.llm.shared import text_parts
+
 # The base patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -248,14 +250,14 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = grammars()
-        for batch in batches:
+        for part, texts in text_parts(batches):
             counts, shas, all_spans = [], [], []
-            for text in batch.column("text").to_pylist():
-                base, every = spans(text or "", known)
+            for text in texts:
+                base, every = spans(text, known)
                 counts.append([sum(k == kind for k, _, _ in every) for kind in KINDS])
                 shas.append(hashlib.sha256(written(base).encode()).hexdigest())
                 all_spans.append(written(every))
             cols = list(zip(*counts)) or [()] * len(KINDS)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols), pa.array(shas, pa.string()), pa.array(all_spans, pa.string())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols), pa.array(shas, pa.string()), pa.array(all_spans, pa.string())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidra.llm.bpe_rounds import MergeTable, WordCache, gather, merge_words, split_bytes
-from evidra.llm.shared import vocabulary
+from evidra.llm.shared import text_parts, vocabulary
 
 MARK = "▁"
 _RUN = re.compile(" +[^ ]*")
@@ -92,7 +92,7 @@ class Codec:
         for c, i in self.char.items():
             if ord(c) < 0x3000:
                 self.low[ord(c)] = i
-        self.cache = WordCache(self._code, 1_000_000)
+        self.cache = WordCache(self._code, 500_000)
 
     def _code(self, runs: list[str]) -> list[bytes]:
         """The ids of runs, each of which stands for itself with its spaces as marks."""
@@ -291,14 +291,10 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(held.value)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            rows = []
-            for a, b in slices(texts):
-                ids = codec.encode([t or "" for t in texts[a:b]])
-                sha = lambda x: hashlib.sha256(x).hexdigest()
-                rows += [(len(i), sha(n), sha(d)) for i, n, d in zip(ids, codec.numbers(ids), codec.decode_bytes(ids))]
-            cols = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        for part, texts in text_parts(batches):
+            ids = codec.encode(texts)
+            cols = list(zip(*((len(i), sha(n), sha(d)) for i, n, d in zip(ids, codec.numbers(ids), codec.decode_bytes(ids)))))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, DIGEST)

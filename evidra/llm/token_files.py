@@ -24,8 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evidra.llm.sentencepiece_codec import slices
-from evidra.llm.shared import Scratch, vocabulary
+from evidra.llm.shared import Scratch, text_parts, vocabulary
 from evidra.llm.simple8b import pack, unpack
 from evidra.llm.word_codec import word_codec
 
@@ -61,16 +60,14 @@ def write(docs: DataFrame, vocabulary_file: str, path: str, end: int = END) -> N
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
         held_ids = 0
-        for batch in batches:
-            texts, numbers = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for a, b in slices(texts):
-                for name, found in zip(numbers[a:b], codec.encode([t or "" for t in texts[a:b]], end)):
-                    names.append(name)
-                    ids.append(found)
-                    held_ids += len(found)
-                    if held_ids >= ROW_IDS:
-                        yield flush()
-                        held_ids = 0
+        for part, texts in text_parts(batches):
+            for name, found in zip(part.column("doc_id").to_pylist(), codec.encode(texts, end)):
+                names.append(name)
+                ids.append(found)
+                held_ids += len(found)
+                if held_ids >= ROW_IDS:
+                    yield flush()
+                    held_ids = 0
         if ids:
             yield flush()
 
