@@ -157,14 +157,14 @@ def gather(table: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.ndarr
 
 
 class WordCache:
-    """Codes of words seen before, at most so many, in two generations.
+    """Codes of words seen before, at most so many, in one or two generations.
 
     Once the younger one is full it becomes the older one, and the older one goes; words looked up again
-    move to the younger one, so frequent words stay.
+    move to the younger one, so frequent words stay. With one generation the cache begins anew once it is full.
     """
 
-    def __init__(self, code, limit: int):
-        self.code, self.half = code, limit // 2
+    def __init__(self, code, limit: int, generations: int = 2):
+        self.code, self.most, self.keep = code, limit // generations, generations > 1
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -172,8 +172,8 @@ class WordCache:
         """The codes of words as little-endian int32 bytes; code(list of distinct words) gives those not seen."""
         young, old = self.young, self.old
         new = [w for w in set(words) if w not in young]
-        if new and len(young) + len(new) > self.half:
-            self.old, self.young = old, young = young, {}
+        if new and len(young) + len(new) > self.most:
+            self.old, self.young = old, young = (young if self.keep else {}), {}
             new = list(set(words))
         again = [w for w in new if w in old]
         young.update(zip(again, map(old.__getitem__, again)))

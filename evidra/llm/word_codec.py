@@ -49,7 +49,7 @@ class WordCodec:
         # Classes of characters: 0 white space, 1 letter, 2 number, 3 other.
         kind = [unicodedata.category(chr(c))[0] for c in range(TOP)]
         self.kind = np.array([0 if chr(c).isspace() else 1 if k == "L" else 2 if k == "N" else 3 for c, k in enumerate(kind)], np.int8)
-        self.cache = WordCache(self._code, 1_000_000)
+        self.cache = WordCache(self._code, 1_000_000, 1)
 
     def _words(self, points: np.ndarray) -> np.ndarray:
         """For each character the mark of a word's first one; white space isn't in words."""
