@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,14 +40,20 @@ def dense(vectors: DataFrame, questions: DataFrame, top_k: int = 40) -> DataFram
     return top(scored.where("score is not null"), top_k)
 
 
+@lru_cache(maxsize=100_000)
+def _grams(word: str, dimension: int, own_sign: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of a word's 3-grams."""
+    padded = f" {word} "
+    found = [int.from_bytes(hashlib.blake2b(padded[i : i + 3].encode(), digest_size=4).digest(), "big") for i in range(max(1, len(padded) - 2))]
+    return np.array([h % dimension for h in found]), np.array([1.0 if (h >> 31 if own_sign else h) & 1 else -1.0 for h in found])
+
+
 def _hashed(text: str, dimension: int, own_sign: bool) -> np.ndarray:
-    out = np.zeros(dimension)
-    for word in re.findall(r"\w+", text):
-        padded = f" {word} "
-        for gram in {i: padded[i : i + 3] for i in range(max(1, len(padded) - 2))}.values():
-            h = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=4).digest(), "big")
-            sign = (h >> 31 if own_sign else h) & 1
-            out[h % dimension] += 1.0 if sign else -1.0
+    grams = [_grams(w, dimension, own_sign) for w in re.findall(r"\w+", text)]
+    if not grams:
+        return np.zeros(dimension)
+    places, signs = (np.concatenate(x) for x in zip(*grams))
+    out = np.bincount(places, weights=signs, minlength=dimension)
     return out / (math.sqrt(float(out @ out)) or 1.0)
 
 
