@@ -27,8 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the boilerplate lines of their source; n_chars follows the text."""
-    cleaned = line_dedup.dedup(docs, F.col("source").cast("string"))
+    """Documents without the boilerplate lines of their source, where copies count once; n_chars follows the text."""
+    cleaned = line_dedup.dedup(docs, F.col("source").cast("string"), copies_once=True)
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cleaned.select(*docs.columns)

@@ -5,6 +5,10 @@ whose share exceeds ``ratio`` are boilerplate of that host and go from all its p
 compared without case and without blanks at its ends; blank lines stay and aren't counted. A line must also stand
 on ``least`` pages, so that the lines of a host with few pages aren't boilerplate by themselves.
 
+With ``copies_once`` the pages of a host with the same set of lines count as one page, in the lines' counts and in
+the host's, so that copies of a page don't make its own lines boilerplate. Near copies with lines of their own are pages of
+their own. The pipeline counts so; the query counts every row, as its SQL does.
+
 What is counted is a pair of 64-bit hashes of each line rather than the line, pre-aggregated before the shuffle, so
 a hot host or a hot line is spread over all tasks. A page of L lines can make at most L / ratio lines exceed
 the ratio, hence a host's boilerplate is a short list: it is joined to the host's pages as an array and the lines
@@ -44,24 +48,29 @@ def _keys(text: Column) -> Column:
     return F.transform(lines, lambda x: F.when(x != "", F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"))))
 
 
-def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RATIO, least: int = LEAST, copies_once: bool = False) -> DataFrame:
     """Host, line key, pages that hold the line and pages of the host, of the lines over the ratio."""
     own = pages.select(F.coalesce(host, F.lit("")).alias("__evidra_host"), host.isNull().alias("__evidra_none"), text.alias("__evidra_text"))
     by = ["__evidra_host", "__evidra_none"]
+    keys = F.array_distinct(F.filter(_keys(F.col("__evidra_text")), lambda x: x.isNotNull()))
+    if copies_once:
+        # Partial sums leave one row of each set of lines in a task, so hot copies aren't shuffled.
+        own = own.select(*by, F.sort_array(keys).alias("__evidra_keys")).distinct()
+        keys = F.col("__evidra_keys")
     total = own.groupBy(*by).agg(F.count(F.lit(1)).alias("__evidra_pages"))
-    lines = own.select(*by, F.explode(F.array_distinct(F.filter(_keys(F.col("__evidra_text")), lambda x: x.isNotNull()))).alias("__evidra_key"))
+    lines = own.select(*by, F.explode(keys).alias("__evidra_key"))
     held = lines.groupBy(*by, "__evidra_key").agg(F.count(F.lit(1)).alias("__evidra_held")).where(F.col("__evidra_held") >= least)
     return held.join(total, by).where(F.col("__evidra_held") > ratio * F.col("__evidra_pages"))
 
 
-def dedup(pages: DataFrame, host: Column, column: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+def dedup(pages: DataFrame, host: Column, column: str = "text", ratio: float = RATIO, least: int = LEAST, copies_once: bool = False) -> DataFrame:
     """pages with the boilerplate lines of their host gone from the column, and the counts of lines and of dropped lines.
 
     The counts are in ``__evidra_lines`` and ``__evidra_dropped``.
     """
     scratch = Scratch(pages.sparkSession, "lines")
     text = F.col(column).cast("string")
-    found = scratch.keep(boilerplate(pages, host, F.coalesce(text, F.lit("")), ratio, least), "boilerplate")
+    found = scratch.keep(boilerplate(pages, host, F.coalesce(text, F.lit("")), ratio, least, copies_once), "boilerplate")
     by_host = found.groupBy("__evidra_host", "__evidra_none").agg(F.collect_set("__evidra_key").alias("__evidra_drop"))
     if found.count() <= BROADCAST:
         by_host = F.broadcast(by_host)

@@ -44,3 +44,14 @@ def test_plan_is_native(spark):
     df = spark.createDataFrame([(1, "a", "s")], "doc_id long, text string, source string")
     plan = line_dedup.report(df)._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
+
+
+def test_copies_are_one_page(spark):
+    """A third of all rows are copies, but for case and blanks: their lines stay, the line of all pages goes."""
+    copy = "menu\nfirst line\nsecond line"
+    rows = [(i, f"Menu\ntext {i}\nmore {i}", f"s{i % 2}") for i in range(200)] + [(1000 + i, copy.upper() + " " if i % 2 else copy, f"s{i % 2}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(df, F.col("source"), copies_once=True).collect()}
+    assert got == {i: "\n".join(t.split("\n")[1:]) for i, t, _ in rows}
+    plain = {r["doc_id"]: r["text"] for r in line_dedup.dedup(df, F.col("source")).collect()}
+    assert plain[1000] == "" and plain[0] == got[0]

@@ -23,3 +23,12 @@ def test_stages(spark):
 def test_one_query_for_each_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
     assert numbers == list(range(1, 11)) and set(queries.ORACLE) <= set(queries.QUERIES)
+
+
+def test_a_hot_group_of_copies_keeps_one_text(spark):
+    """Line dedup doesn't empty the copies, so that the join leaves one of them."""
+    copy = "\n".join(f"a line {k} of the copied page with words of its own" for k in range(6))
+    rows = [(i, "\n".join(f"page {i} has words {i + k} and line {k}" for k in range(6)), f"s{i % 2}") for i in range(200)] + [(1000 + i, copy, f"s{i % 2}") for i in range(100)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.near_duplicates(spark, corpus_pipeline.lines(spark, docs, ""), "")
+    assert [(r["doc_id"], r["text"]) for r in left.where("doc_id >= 1000").collect()] == [(1000, copy)]
