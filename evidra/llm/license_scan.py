@@ -1,13 +1,17 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
-Texts are cut into sentences (at line ends and after . ! ? ; : before white space or the end), sentences are
+Texts are cut into sentences (at blank lines and after . ! ? ; : before white space or the end), sentences are
 normalised (lower case, runs of other characters than a-z and 0-9 as one space) and looked up in a fixed map
-from known licence sentences to their ids. The ids found, in order of the text, are matched against ordered
-rules: a rule holds where its ids follow one another among the ids found. Sentences that aren't known don't
-break a sequence, as notices are often wrapped or interrupted by names.
+from known licence sentences to their ids. A line end may be the end of a sentence or only a wrap: a known sentence
+is found where it begins and ends at line ends or cuts and has any line ends between its words. Lines of signs
+only, such as an empty comment line, are blank; signs at the beginning of a line, such as comment marks, don't
+matter. ``PUBLISHED`` has published sentences that go on where a known one ends, or are cut elsewhere. The ids found, in
+order of the text, are matched against ordered rules: a rule holds where its ids follow one another among the
+ids found. Sentences that aren't known don't break a sequence, as notices are often interrupted by names.
 
 Everything is a projection of one row, so nothing is shuffled. A text without any of the words that every
-known sentence holds one of is not cut.
+known sentence holds one of is not cut. Of known sentences that begin at one place the shortest is found, so a line that
+is one is never taken as the beginning of a longer one; what is found doesn't overlap.
 
 Defined cases: a null or empty text has no sentence and no licence; repeated rows are scanned one by one; rules
 that hold are listed once each, in the order of their names, so ties need no other rule; an empty table gives
@@ -49,6 +53,16 @@ SENTENCES = {
     24: "licensed under the gnu general public license version 2",
     25: "this work is dedicated to the public domain",
 }
+_GRANT = "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+_LATER = "of the license or at your option any later version"
+#: Sentences as published and as they are cut, | for a cut within, and the ids they stand for.
+PUBLISHED = {
+    SENTENCES[7] + " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": [7],
+    SENTENCES[9] + " express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": [9],
+    f"{_GRANT} either version 3 {_LATER}": [12, 13],
+    f"{_GRANT} either version 2 {_LATER}": [12, 14],
+    "this source code form is subject to the terms of the mozilla public license v | 2 0": [22],
+}
 RULES = {
     "apache-2.0": [[1], [2], [3, 4]],
     "mit": [[5], [6], [7, 8], [7, 9]],
@@ -67,22 +81,36 @@ RULES = {
 #: Every known sentence holds one of these.
 WORDS = ["licen", "permission", "permitted", "copyright", "software", "rights reserved", "public domain", "redistribut", "public", "as is"]
 CUT = r"[.!?;:]+(\s|$)"
+_CUT = "\x01"
+
+
+def _folded(text: Column) -> Column:
+    """A text in lower case with _CUT for cuts and blank lines, and runs of signs as one space but for line ends."""
+    cut = F.regexp_replace(F.translate(F.lower(text), _CUT, " "), CUT, _CUT)
+    blank = F.regexp_replace(cut, f"\n[^a-z0-9{_CUT}]*\n", _CUT)
+    return F.regexp_replace(blank, f"[^a-z0-9\n{_CUT}]+", " ")
 
 
-def sentences(text: Column) -> Column:
-    """The normalised sentences of a text, in order, without empty ones."""
-    lines = F.split(F.regexp_replace(F.lower(text), CUT, "\n"), "\n", -1)
-    return F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))), lambda x: x != "")
+def _pattern(known: list[str]) -> str:
+    """What matches known sentences in a folded text, wrapped or not."""
+    word = {"|": f"[ \n]*{_CUT}[ \n]*"}
+    one = ["".join(word.get(w, w) + ("[ \n]+" if after and "|" not in (w, after) else "") for w, after in zip(ws, [*ws[1:], ""])) for ws in map(str.split, sorted(known, key=len))]
+    return f"(?<=^ ?|[\n{_CUT}] ?)(?:{'|'.join(one)})(?= ?(?:[\n{_CUT}]|$))"
 
 
-def sentence_ids(text: Column, known: dict[int, str] = SENTENCES) -> Column:
+def sentence_ids(text: Column, known: dict[int, str] = SENTENCES, published: dict[str, list[int]] = PUBLISHED) -> Column:
     """The ids of the known sentences of a text, in order."""
-    ids = F.create_map(*(F.lit(x) for x in chain.from_iterable((s, i) for i, s in known.items())))
+    every = {s: [i] for i, s in known.items()}
+    for s, ids in published.items():
+        every.setdefault(s, ids)
+    plain = {" ".join(s.replace("|", " ").split()): ids for s, ids in every.items()}
+    ids = F.create_map(*chain.from_iterable((F.lit(s), F.array(*map(F.lit, i))) for s, i in plain.items()))
     low = F.lower(text)
     told = F.lit(False)
     for w in _words(known):
         told = told | F.contains(low, F.lit(w))
-    found = F.filter(F.transform(F.filter(sentences(text), lambda s: F.length(s).between(min(map(len, known.values())), max(map(len, known.values())))), lambda s: ids[s]), lambda i: i.isNotNull())
+    found = F.regexp_extract_all(_folded(text), F.lit(_pattern(list(every))), F.lit(0))
+    found = F.flatten(F.transform(found, lambda s: ids[F.regexp_replace(s, f"[ \n{_CUT}]+", " ")]))
     return F.when(told, found).otherwise(F.array().cast("array<int>"))
 
 

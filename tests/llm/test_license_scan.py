@@ -29,6 +29,60 @@ def test_every_known_sentence_is_found(spark):
     assert [got[i][1] for i in range(len(got))] == [str(k) for k in license_scan.SENTENCES]
 
 
+MIT = """Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+GPL = """# This program is free software{} you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation{} either version {} of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance
+with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+
+
+def test_published_notices_as_wrapped(spark):
+    got = scan(spark, [MIT, BSD, MPL, GPL.format(":", ",", 3), GPL.format(";", ";", 2), APACHE, MIT.replace("\n", "\r\n"), MIT.replace("\n\n", "\x00").replace("\n", " ").replace("\x00", "\n")])
+    assert [got[i] for i in range(8)] == [
+        (3, "7,8,9", "mit"), (2, "19,20", "bsd-2-clause,bsd-3-clause"), (1, "22", "mpl-2.0"), (3, "11,12,13", "gpl-3.0"), (3, "11,12,14", "gpl-2.0"),
+        (3, "2,3,4", "apache-2.0"), (3, "7,8,9", "mit"), (3, "7,8,9", "mit"),
+    ]
+
+
+def test_what_is_no_wrap(spark):
+    got = scan(spark, ["Released under\n\nthe MIT License", "Released under\n * \n the MIT License", "Released under. The MIT License", "is Released under\nthe MIT License", "Released under\nthe MIT License or so", "Released under\nthe MIT License"])
+    assert [got[i][2] for i in range(6)] == ["", "", "", "", "", "mit"]
+
+
 def test_odd_tables(spark):
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string, licenses int")).count() == 0
     plan = license_scan.scan(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
