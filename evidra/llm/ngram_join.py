@@ -17,8 +17,8 @@ A document's set are the 64-bit hashes of its distinct word n-grams. Two documen
    a spanning forest of the links it has found.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a
-document without id takes no part and has no component; rows that share a doc_id are one document; fewer words than n
-make one n-gram of the whole sequence; an empty table gives an empty result; other columns are not read.
+document without id takes no part and has no component; rows that share a doc_id are one document, whose set are the
+n-grams of all its texts; fewer words than n make one n-gram of the whole sequence; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -68,7 +68,7 @@ def shingles(texts: list[str], width: int) -> list[np.ndarray]:
     n = len(h)
     out = np.zeros(max(n - width + 1, 0), np.uint64)
     for k in range(width):
-        out = out * _ODD + h[k : n - width + 1 + k]
+        out = out * _ODD + h[k : len(out) + k]
     out = _mixed(out)
     ends = np.cumsum(counts)
     result = []
@@ -87,8 +87,13 @@ def shingles(texts: list[str], width: int) -> list[np.ndarray]:
 
 
 def _each(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of batches with a set for each row; the column more has further texts of a row's document, or null."""
     for part, texts in text_parts(batches):
-        yield part, shingles(texts, width)
+        sets = shingles(texts, width)
+        for i, more in enumerate(part.column("more").to_pylist()):
+            if more:
+                sets[i] = np.unique(np.concatenate([sets[i], *shingles(more, width)]))
+        yield part, sets
 
 
 def _least(n, percent: int):
@@ -116,6 +121,21 @@ def _members(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, sig_a long, sig_b long")
 
 
+def _united(own: DataFrame, members: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """own with a row for each doc_id whose rows have different sets, and the doc_id and number of rows of those, if any."""
+    sig = ["sig_a", "sig_b"]
+    ranges = [f(c).alias(f"{name}_{c}") for c in sig for name, f in (("low", F.min), ("high", F.max))]
+    each = members.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), *ranges)
+    several = scratch.keep(each.where("low_sig_a <> high_sig_a or low_sig_b <> high_sig_b").select("doc_id", "rows"), "several")
+    n = several.count()
+    if not n:
+        return own, None
+    ids = F.broadcast(several.select("doc_id")) if n <= BROADCAST else several.select("doc_id")
+    texts = own.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("text").alias("texts"))
+    one = scratch.keep(texts.select("doc_id", F.get("texts", F.lit(0)).alias("text"), F.slice("texts", 2, F.greatest(F.size("texts") - 1, F.lit(0))).alias("more")), "united")
+    return own.join(ids, "doc_id", "left_anti").unionByName(one), several
+
+
 def _counts(docs: DataFrame, width: int, bits: int) -> np.ndarray:
     """For each range of hashes the logarithm (base 2) of the most documents that hold one of its n-grams."""
     spark = docs.sparkSession
@@ -291,8 +311,11 @@ def _verify(docs: DataFrame, families: DataFrame, sizes: DataFrame, width: int,
 def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the least doc_id that links lead to, itself included)."""
     scratch = Scratch(docs.sparkSession, "ngrams")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(None).cast("array<string>").alias("more"))
     members = scratch.keep(_members(own, width), "members")
+    own, several = _united(own, members, scratch)
+    if several is not None:
+        members = scratch.keep(_members(own, width), "members")
     named = members.where("doc_id is not null and n > 0")
     total = named.agg(F.sum("n")).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(total, 1))), 16, TABLE_BITS))
@@ -307,6 +330,8 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     classes = named.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("node"))
     placed = classes.join(labels, "node", "left").select("sig_a", "sig_b", F.coalesce("label", "node").alias("component"))
     out = members.join(placed, ["sig_a", "sig_b"], "left")
+    if several is not None:
+        out = out.join(several, "doc_id", "left").withColumn("rows", F.explode(F.sequence(F.lit(1), F.coalesce("rows", F.lit(1)))))
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 

@@ -74,6 +74,26 @@ def test_first_of_each(spark):
     assert sum(r["doc_id"] is None for r in kept) == 1
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_texts_of_one_id_are_one_set(spark, seed):
+    """Two texts of an id are linked by their union, whatever the order of rows; each row has the result of its id."""
+    w = [f"w{k}" for k in range(60)]
+    long, start, rest = " ".join(w), " ".join(w[:32]), " ".join(w[28:])
+    rows = [(1, start), (1, rest), (2, long), (3, start), (4, None), (4, "x y z"), (5, "X y z"), (None, start), (6, "p q r"), (6, "p q r"), (7, rest)]
+    random.Random(seed).shuffle(rows)
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = brute(rows, 3, 90)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None) == sorted((i, *want[i]) for i, _ in rows if i is not None)
+    assert [want[i][1] for i in range(1, 8)] == [1, 1, 3, 4, 4, 6, 7] and len(got) == len(rows)
+    kept = ngram_join.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [1, 3, 4, 6, 7]
+
+
+def test_fewer_words_in_all_than_the_width():
+    """A slice of texts may have fewer words together than an n-gram."""
+    assert [len(s) for s in ngram_join.shingles(["a b c"], 5)] == [1] and [len(s) for s in ngram_join.shingles(["a", "", "b c"], 5)] == [1, 0, 1]
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.join(empty).count() == 0 and ngram_join.first_of_each(empty).count() == 0
