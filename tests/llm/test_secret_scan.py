@@ -42,3 +42,42 @@ def test_scan(spark):
     by = sorted((r["doc_id"] or 0, r["spans"]) for r in got)
     assert by == [(0, ""), (1, "access:0:20"), (1, f"assign:2:19,format:24:{24 + len(key)}"), (2, ""), (4, "hex:100000:100024")]
     assert s.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_tables_give_the_scores_of_the_automata():
+    """The stacked tables and the early end against each automaton walked symbol by symbol, on every kind of token."""
+    known, rng = s.Grammars(), random.Random(5)
+    tokens = s._ordinary(rng, 1500) + [w for ws in s._formats(rng, 40).values() for w in ws]
+    tokens += ["".join(rng.choice(s.ALPHABET) for _ in range(rng.randint(1, 60))) for _ in range(500)] + [t[:-1] for t in tokens[-300:]] + ["a" * 5000]
+    slow = [max(a.score(tuple(t)) * (len(t) + 1) for a in known.formats.values()) - known.plain.log_likelihood(tuple(t)) for t in tokens]
+    for margin in (s.MARGIN, 0.0, -5.0):
+        assert known.secret(tokens, margin).tolist() == [x > margin for x in slow]
+
+
+def test_length_and_prefix_count():
+    """A key that is cut or has a wrong prefix is less likely, by about the floor."""
+    known, rng = s.Grammars(), random.Random(6)
+    for kind in ("ghp", "sk", "glpat", "npm"):
+        for w in s._formats(rng, 30)[kind]:
+            a = known.formats[kind]
+            assert a.log_likelihood(tuple(w)) > a.log_likelihood(tuple(w[:-1])) + 3 and a.log_likelihood(tuple(w)) > a.log_likelihood(tuple("#" + w[1:])) + 100
+
+
+def test_ordinary_tokens_are_left_alone():
+    """File names, identifiers, numbers and words of shapes that the ordinary set doesn't have."""
+    known, rng = s.Grammars(), random.Random(7)
+    tokens = ["978-3-16-148410-0-2019-05", "IMG_20190504_123456_HDR.jpeg", "linux-image-5.4.0-42-generic", "getElementsByTagNameNS2ToString", "+49-170-1234567-0001-ext", "XMLHttpRequestEventTarget2Element",
+              "Donaudampfschiffahrtsgesellschaftskapitaen", "com/example/service/impl/DefaultHandlerFactoryBean.java", "2019-05-04T12-34-56Z", "DE89370400440532013000", "v1.2.3-rc.4", "SSer", "0" * 40, "a" * 32, "A" * 24]
+    assert not any(known.secret(tokens))
+    assert sum(known.secret(s._ordinary(rng, 20_000))) <= 20
+
+
+def test_spans_against_a_plain_scan():
+    known, rng = s.Grammars(), random.Random(8)
+    parts = [lambda: rng.choice(s._ordinary(rng, 1)), lambda: rng.choice(list(s._formats(rng, 1).values()))[0], lambda: "token=" + "x1" * 5, lambda: rng.choice([" ", ".", ", ", "\n", "é", "=", '"'])]
+    texts = ["".join(rng.choice(parts)() for _ in range(rng.randint(0, 20))) for _ in range(80)]
+    for text, (base, every) in zip(texts, s.spans(texts, s.Known(known))):
+        held = brute(text)
+        runs = [m for m in re.finditer(r"[A-Za-z0-9+/_-]+(?:\.[A-Za-z0-9+/_-]+)*={0,2}", text) if known.lead(m[0]) > s.MARGIN]
+        more = [("format", *m.span()) for m in runs if not any(m.start() < b and a < m.end() for _, a, b in held)]
+        assert base == held and every == sorted(held + more, key=lambda x: (x[1], s.KINDS.index(x[0])))
