@@ -3,18 +3,23 @@
 A document's set are the 64-bit hashes of its distinct word n-grams. Two documents link when
 100 * |intersection| >= percent * |union|. What is wanted are the components of links, never the pairs.
 
-1. Documents of equal sets are one member; its node is its least doc_id.
-2. How many documents hold each n-gram is counted over the whole corpus, in sorted pieces of truncated hashes, and kept as
-   a table of a bounded size: a byte for each range of hashes with the logarithm of the largest count in it. The
-   order of n-grams for the prefix filter is (that byte, hash): rare ones first. Any order gives exact
-   results; this one keeps common passages out of the prefixes.
-3. Two sets that link share an n-gram of their prefixes (the first n - ceil(t * n) + 1), and the smaller one has it within
-   its shorter index prefix. Members with the same token and a size of the same band are a group; groups whose
-   tokens and bands meet, and that hold an index prefix, are connected through their least nodes, so the
-   candidate graph has no more edges than there are prefix tokens. Its components are the families: no link leaves one.
-4. The sets of a family's members meet in one task, or, where they are too many, each chunk of them meets each
-   other chunk. Intersections are counted by products of blocks of a membership matrix, and a task returns
-   a spanning forest of the links it has found.
+1. Documents of equal sets are one member; its node is its least doc_id, and only that document is read on.
+2. Rare n-grams come first in the order of the prefix filter. Those that several members have among the first of their
+   n-grams by hash are counted, with partial sums; the ``KNOWN`` most frequent ones are told to all tasks. The order is (logarithm of
+   the count told, hash). Any order gives exact results; this one keeps common passages out of the prefixes.
+3. Two sets that link share an n-gram of their prefixes (the first n - ceil(t * n) + 1). Of each prefix only the tokens that some
+   other member's prefix holds are kept: no other can be shared. Members with the same tokens left and the same size
+   are one group, which stands for them from here on.
+4. Groups meet in cells of a token and a band of sizes. In each cell every group is paired with the cell's hub, the group
+   with the least n-grams of its own. What passes the filters of group pairs - sizes, and the positions of the token, which
+   bound the intersection - is expanded: each member of a group with its representative, representatives with hubs.
+   Sketches (parities of hashed n-grams, which bound the difference) filter pairs once more, and the sets of what is left are intersected.
+5. The components of these verified links leave few cells with more than one component. There all groups of a cell are paired,
+   a hot cell in salted slices, and pairs that the filters pass and that aren't of one component are expanded to members of
+   different components and verified in the same way. Pairs within a component can't change it and are never made.
+
+Sets are joined to pairs with a salt for nodes that stand in many pairs; classes of many rows get their results by a broadcast of
+a checked size.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a
 document without id takes no part and has no component; rows that share a doc_id are one document, whose set are the
@@ -29,20 +34,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm.components import components, labels_of
-from evidra.llm.shared import Scratch, give_back, shuffle_partitions, text_parts
+from evidra.llm.components import components
+from evidra.llm.shared import Scratch, give_back, text_parts
 
-#: Bytes of the table of counts, at most; it is broadcast.
-TABLE_BITS = 25
-#: N-grams of a chunk of a family, about.
-CHUNK = 2_000_000
-#: Family members whose ids may be broadcast.
+#: N-grams whose counts are told to all tasks, at most (9 bytes each).
+KNOWN = 1_000_000
+#: Rows that may be broadcast (a few numbers each).
 BROADCAST = 500_000
-#: Columns and rows of a block of the membership matrix.
-COLUMNS, ROWS = 8192, 2048
+#: Pairs of one node, and groups of a cell, that one task handles, about.
+CHUNK = 256
+#: Rows of one class that are joined in one task, about.
+CLASS_ROWS = 2_000
+#: 64-bit words of a sketch.
+SKETCH = 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -101,11 +108,6 @@ def _least(n, percent: int):
     return -(-percent * n // 100)
 
 
-def _index_prefix(n, percent: int):
-    """The prefix of a set that it shares with every linked set of its size or more."""
-    return n + (-2 * percent * n // (100 + percent)) + 1
-
-
 def band_of(n, percent: int):
     """Sizes in bands, so that linked sets are of one band or of two that follow each other."""
     return np.floor(np.log(np.maximum(n, 1)) / np.log(100 / percent) + 1e-9).astype(np.int64)
@@ -136,176 +138,221 @@ def _united(own: DataFrame, members: DataFrame, scratch: Scratch) -> tuple[DataF
     return own.join(ids, "doc_id", "left_anti").unionByName(one), several
 
 
-def _counts(docs: DataFrame, width: int, bits: int) -> np.ndarray:
-    """For each range of hashes the logarithm (base 2) of the most documents that hold one of its n-grams."""
-    spark = docs.sparkSession
-    part_bits = min(bits, max(8, int(np.ceil(np.log2(4 * shuffle_partitions(spark))))))
-    shift = np.uint64(64 - 32 - part_bits)
+def _some(df: DataFrame, n: int) -> DataFrame:
+    """df, to be broadcast if it has few rows."""
+    return F.broadcast(df) if n <= BROADCAST else df
+
+
+def _flat(parts: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *parts])
+
+
+def _known(reps: DataFrame, width: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent n-grams among the first of the members' n-grams by hash, ascending, and the logarithms of their counts."""
 
     def run(batches):
         for _, sets in _each(batches, width):
-            keys = np.sort(np.concatenate([*sets, np.zeros(0, np.uint64)]) >> shift)
-            part = keys >> np.uint64(32)
-            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(keys) else np.zeros(0, int)
-            low = keys.astype("<u4").tobytes()
-            blobs = [low[4 * a : 4 * b] for a, b in zip(first.tolist(), [*first[1:].tolist(), len(keys)])]
-            yield pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "low"])
-
-    def count(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        low = np.sort(np.frombuffer(b"".join(pdf["low"]), "<u4"))
-        first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-        times = np.diff(np.r_[first, len(low)])
-        held = np.zeros(1 << (bits - part_bits), np.uint8)
-        np.maximum.at(held, low[first] >> np.uint32(32 - (bits - part_bits)) if bits > part_bits else np.zeros(len(first), int), np.log2(times).astype(np.uint8))
-        return pd.DataFrame({"part": [key[0]], "held": [held.tobytes()]})
-
-    table = np.zeros(1 << bits, np.uint8)
-    size = 1 << (bits - part_bits)
-    pieces = docs.mapInArrow(run, "part int, low binary").groupBy("part").applyInPandas(count, "part int, held binary")
-    # The pieces are the table itself, whose size is fixed by bits.
-    for r in pieces.collect():
-        table[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["held"], np.uint8)
-    return table
-
-
-def _prefixes(docs: DataFrame, width: int, percent: int, table, bits: int) -> DataFrame:
-    """token, band, index (whether within the index prefix) and node, of the prefix tokens that others may hold."""
+            # Twice a prefix: what takes the place of a frequent n-gram is mostly counted, too.
+            first = _flat([s[: 2 * (len(s) - _least(len(s), percent) + 1)] for s in sets], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64))], names=["token"])
+        give_back()
+
+    counts = reps.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # A fixed bound of rows.
+    told = counts.orderBy(F.desc("n"), "token").limit(KNOWN).toPandas()
+    token = told["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(token)
+    return token[order], np.log2(told["n"].to_numpy(np.float64)[order]).astype(np.uint8)
+
+
+def in_order(own: np.ndarray, known: tuple[np.ndarray, np.ndarray], size: int) -> np.ndarray:
+    """The first n-grams of a sorted set: unknown ones by hash, then known ones by logarithm of the count and hash."""
+    tokens, levels = known
+    if not len(tokens):
+        return own[:size]
+    at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
+    level = np.where(tokens[at] == own, levels[at], 0)
+    return own[np.argsort(level, kind="stable")[:size]]
+
+
+def _prefixes(reps: DataFrame, width: int, percent: int, known) -> DataFrame:
+    """node, n, token and its position, of all prefixes of sets that may link with others."""
 
     def run(batches):
-        shift = np.uint64(64 - bits)
         for part, sets in _each(batches, width):
-            names, rows = part.column("doc_id").to_pylist(), []
-            n = np.array([len(s) for s in sets], np.int64)
-            whole, short = n - _least(n, percent) + 1, np.maximum(_index_prefix(n, percent), 1)
-            bands = band_of(n, percent)
-            for i, s in enumerate(sets):
+            names, out = part.column("doc_id").to_pylist(), []
+            for name, s in zip(names, sets):
+                n = len(s)
                 # A set that is too small for a difference of one n-gram links with equal sets only.
-                if names[i] is None or 100 * n[i] < percent * (n[i] + 1):
-                    continue
-                level = table.value[s >> shift]
-                first = np.argsort(level, kind="stable")[: whole[i]]
-                shared = level[first] > 0
-                if shared.any():
-                    rows.append((names[i], bands[i], s[first][shared], np.flatnonzero(shared) < short[i], hashlib.blake2b(s.tobytes(), digest_size=16).digest()))
-            size = np.array([len(r[2]) for r in rows], np.int64)
-            sig = np.frombuffer(b"".join(r[4] for r in rows), "<i8").reshape(-1, 2)
-            token = np.concatenate([*(r[2] for r in rows), np.zeros(0, np.uint64)]).view(np.int64)
-            index = np.concatenate([*(r[3] for r in rows), np.zeros(0, bool)])
-            each = lambda v: np.repeat(np.array(v, np.int64), size)
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(each([r[1] for r in rows]).astype(np.int32)), pa.array(index), pa.array(each([r[0] for r in rows])), pa.array(np.repeat(sig[:, 0], size)), pa.array(np.repeat(sig[:, 1], size))], names=["token", "band", "index", "doc_id", "sig_a", "sig_b"])
-
-    rows = docs.mapInArrow(run, "token long, band int, index boolean, doc_id long, sig_a long, sig_b long")
-    # All documents of a member have the same prefix, so the least id of each token is the member's node.
-    return rows.groupBy("token", "band", "sig_a", "sig_b").agg(F.max("index").alias("index"), F.min("doc_id").alias("node")).select("token", "band", "index", "node")
-
-
-def _family_edges(prefixes: DataFrame) -> DataFrame:
-    """Edges that connect all members whose groups may link: members to the least node of their group, and groups of a
-    token in bands that follow each other."""
-    groups = prefixes.groupBy("token", "band").agg(F.count(F.lit(1)).alias("n"), F.max("index").alias("index"), F.min("node").alias("hub"))
-    none = F.lit(None)
-    own = groups.select("token", "band", "n", "index", "hub", none.cast("long").alias("lower"))
-    # A group with an index prefix is the lower neighbour of the next band's group.
-    up = groups.where("index").select("token", (F.col("band") + 1).alias("band"), none.cast("long").alias("n"), none.cast("boolean").alias("index"), none.cast("long").alias("hub"), F.col("hub").alias("lower"))
-    met = own.unionByName(up).groupBy("token", "band").agg(F.max("n").alias("n"), F.max("index").alias("index"), F.max("hub").alias("hub"), F.max("lower").alias("lower"))
-    alive = met.where("hub is not null and (lower is not null or (index and n > 1))").select("token", "band", "hub", "lower")
-    inside = prefixes.join(alive, ["token", "band"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    across = alive.where("lower is not null and lower <> hub").select(F.col("hub").alias("a"), F.col("lower").alias("b"))
-    return inside.unionByName(across)
-
-
-def linked(sets: list[np.ndarray], percent: int, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions of sets that link. With split, only those of a set before split and one from it on."""
-    m = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(m), size)
-    flat, counts = np.unique(np.concatenate(sets), return_inverse=True)[1], None
-    counts = np.bincount(flat)
-    common = counts[flat] > 1
-    column = (np.cumsum(counts > 1) - 1)[flat[common]]
-    owner = owner[common]
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    n_columns = int(column[-1]) + 1 if len(column) else 0
-    found_a, found_b = [], []
-    top, bottom = (range(0, m, ROWS), lambda r: range(r, m, ROWS)) if split is None else (range(0, split, ROWS), lambda r: range(split, m, ROWS))
-    for r in top:
-        r_end = min(r + ROWS, m if split is None else split)
-        for q in bottom(r):
-            q_end = min(q + ROWS, m)
-            both = np.zeros((r_end - r, q_end - q), np.float32)
-            for c in range(0, n_columns, COLUMNS):
-                a, b = np.searchsorted(column, [c, c + COLUMNS])
-                col, own = column[a:b] - c, owner[a:b]
-                width = min(COLUMNS, n_columns - c)
-                x = _block(own, col, r, r_end, width)
-                both += x @ (x if q == r and split is None else _block(own, col, q, q_end, width)).T
-            union = size[r:r_end, None] + size[None, q:q_end] - both
-            i, j = np.nonzero((100 * both >= percent * union) & (union > 0))
-            keep = i + r < j + q
-            found_a.append(i[keep] + r)
-            found_b.append(j[keep] + q)
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
-
-
-def _block(owner, column, first, last, width):
-    x = np.zeros((last - first, width), np.float32)
-    own = (owner >= first) & (owner < last)
-    x[owner[own] - first, column[own]] = 1
-    return x
-
-
-def _forest(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from each linked node to the least of its component."""
-    if not len(a):
-        return a, a
-    own, label = labels_of(nodes[a], nodes[b])
-    return own[own != label], label[own != label]
-
-
-def _verify(docs: DataFrame, families: DataFrame, sizes: DataFrame, width: int, percent: int, scratch: Scratch) -> tuple[DataFrame, bool]:
-    """Forest edges (a, b) of the links within families, and whether a family was cut into chunks.
-
-    families: node, family; sizes: node, n.
+                if 100 * n >= percent * (n + 1):
+                    out.append((name, n, in_order(s, known.value, n - _least(n, percent) + 1)))
+            size = np.array([len(x) for _, _, x in out], np.int64)
+            node, n = (np.repeat(np.array([o[k] for o in out], np.int64), size) for k in (0, 1))
+            place = _flat([np.arange(k) for k in size.tolist()], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n.astype(np.int32)), pa.array(_flat([x for _, _, x in out], np.uint64).view(np.int64)), pa.array(place.astype(np.int32))], names=["node", "n", "token", "place"])
+        give_back()
+
+    return reps.mapInArrow(run, "node long, n int, token long, place int")
+
+
+def _groups(prefixes: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Members (node, gid) and groups (gid, n, own, tokens): members of one size whose prefixes hold the same shared tokens.
+
+    gid is the least node of a group, own the least number of n-grams of a member's prefix before its first shared one.
+    """
+    shared = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    each = prefixes.join(shared, "token").groupBy("node", "n").agg(F.sort_array(F.collect_set(F.struct("place", "token"))).alias("at"))
+    each = each.select("node", "n", F.col("at.token").alias("tokens"), F.col("at")[0]["place"].alias("own"))
+    sign = [F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit(7), "tokens").alias("b")]
+    each = scratch.keep(each.select("node", "n", "own", "tokens", *sign), "shared")
+    # Partial sums leave one row of a group in a task.
+    groups = scratch.keep(each.groupBy("a", "b", "n").agg(F.min("node").alias("gid"), F.min("own").alias("own"), F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), "groups")
+    several = groups.where("rows > 1").select("a", "b", "n", "gid", "rows")
+    in_several = _with_class(each.select("node", "a", "b", "n"), several, ["a", "b", "n"], scratch).where("node <> gid").select("node", "gid")
+    return scratch.keep(in_several, "members"), groups.select("gid", "n", "own", "tokens")
+
+
+def _with_class(rows: DataFrame, classes: DataFrame, by: list[str], scratch: Scratch) -> DataFrame:
+    """rows joined (inner) with classes, which are unique by their key and have a number of rows each.
+
+    Classes of many rows are broadcast, so that none of them lands in one task; there are few of them.
+    """
+    hot = classes.where(F.col("rows") > CLASS_ROWS)
+    n = hot.count()
+    if not n:
+        return rows.join(classes, by)
+    if n > BROADCAST:
+        salt = F.pmod(F.xxhash64(rows.columns[0]), F.lit(16)).cast("int")
+        return rows.withColumn("salt", salt).join(classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15)))), [*by, "salt"]).drop("salt")
+    rest = rows.join(F.broadcast(hot.select(*by)), by, "left_anti").join(classes.where(F.col("rows") <= CLASS_ROWS), by)
+    return rest.unionByName(rows.join(F.broadcast(hot), by).select(*rest.columns))
+
+
+def _cells(groups: DataFrame, percent: int) -> DataFrame:
+    """A row for each group, token and band in which others may be met; i is the token's index among the shared ones."""
+    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.lit(float(np.log(100 / percent))) + 1e-9).cast("int")
+    rows = groups.select("gid", "n", "own", band.alias("band"), F.posexplode("tokens").alias("i", "token"))
+    return rows.withColumn("cell", F.explode(F.array(F.col("band"), F.col("band") - 1))).drop("band")
+
+
+def _may(x: str, y: str, percent: int) -> Column:
+    """The filters of group pairs: the sizes, and what can be shared before, at and after the token met.
+
+    Tokens that no other prefix holds can't be shared, so what is before is at most the lesser index, and what is after lies behind
+    the own ones, too.
     """
-    weights = families.join(sizes, "node").groupBy("family").agg(F.sum("n").alias("weight"))
-    placed = families.join(weights, "family").withColumn("chunks", F.ceil(F.col("weight") / CHUNK).cast("int")).select(F.col("node").alias("doc_id"), "family", "chunks")
-    placed = scratch.keep(placed, "families")
-    told = placed.agg(F.count(F.lit(1)).alias("n"), F.max("chunks").alias("chunks")).first()
-    if told["n"] <= BROADCAST:
-        placed = F.broadcast(placed)
+    c = lambda t, name: F.col(f"{t}.{name}")
+    need = F.ceil(percent * (c(x, "n") + c(y, "n")) / F.lit(100 + percent) - 1e-9)
+    rest = lambda t: c(t, "n") - c(t, "own") - c(t, "i") - 1
+    most = F.least(c(x, "i"), c(y, "i")) + 1 + F.least(rest(x), rest(y))
+    return (100 * F.least(c(x, "n"), c(y, "n")) >= percent * F.greatest(c(x, "n"), c(y, "n"))) & (most >= need)
+
+
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of n-grams in each of 64 * SKETCH places: two sets differ in at least as many n-grams as
+    their sketches in bits."""
+    places = np.bincount((own % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(places.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def _sets(reps: DataFrame, nodes: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """node, n, set and sketch of the nodes."""
 
     def run(batches):
         for part, sets in _each(batches, width):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("family"), part.column("chunks"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "family", "chunks", "set"])
-
-    rows = docs.join(placed, "doc_id").mapInArrow(run, "node long, family long, chunks int, set binary")
-    # Small families share bins; of a large one each pair of chunks has a bin of its own.
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("chunk")).alias("i"), F.greatest(k, F.col("chunk")).alias("j")))
-    one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-    rows = rows.withColumn("chunk", chunk).withColumn("at", F.explode(F.when(F.col("chunks") == 1, one).otherwise(others)))
-    bins = 8 * shuffle_partitions(docs.sparkSession)
-    bin_ = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("family"), F.lit(bins))).otherwise(F.xxhash64("family", "at.i", "at.j"))
-    rows = rows.select("node", "family", "chunk", "set", F.col("at.i").alias("i"), F.col("at.j").alias("j"), bin_.alias("bin"))
-
-    def check(pdf: pd.DataFrame) -> pd.DataFrame:
-        out_a, out_b = [], []
-        for (_, i, j), own in pdf.groupby(["family", "i", "j"], sort=False):
-            own = own.drop_duplicates("node").sort_values("chunk", kind="stable")
-            if len(own) < 2:
-                continue
-            sets = [np.frombuffer(s, np.uint64) for s in own["set"]]
-            split = None if i == j else int((own["chunk"] == i).sum())
-            a, b = _forest(own["node"].to_numpy(), *linked(sets, percent, split))
-            out_a.append(a)
-            out_b.append(b)
-        none = np.zeros(0, np.int64)
+            sketches = np.concatenate([sketch(s) for s in sets]) if sets else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array((np.arange(len(sets) + 1) * SKETCH).astype(np.int32)), pa.array(sketches))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), lists], names=["node", "n", "set", "sketch"])
         give_back()
-        return pd.DataFrame({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
 
-    return rows.groupBy("bin").applyInPandas(check, "a long, b long"), (told["chunks"] or 1) > 1
+    some = reps.join(_some(nodes.withColumnRenamed("node", "doc_id"), nodes.count()), "doc_id", "left_semi")
+    return scratch.keep(some.mapInArrow(run, "node long, n long, set binary, sketch array<long>").dropDuplicates(["node"]), "sets")
+
+
+def _beside(pairs: DataFrame, sets: DataFrame, side: str, columns: dict[str, str]) -> DataFrame:
+    """pairs with columns of their node a or b; a node of many pairs is met in as many tasks as it needs."""
+    many = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > CHUNK).select(F.col(side).alias("node"), F.ceil(F.col("k") / CHUNK).cast("int").alias("slices"))
+    own = sets.select("node", *(F.col(c).alias(name) for c, name in columns.items())).join(many, "node", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    own = own.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    told = pairs.join(many.withColumnRenamed("node", side), side, "left").withColumn("slice", F.pmod(F.xxhash64("a", "b"), F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
+    return told.join(own.withColumnRenamed("node", side), [side, "slice"]).drop("slice")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Those of the pairs of nodes (a, b) that link."""
+    sketched = sets.select("node", "n", "sketch")
+    near = _beside(_beside(pairs, sketched, "a", {"n": "n_a", "sketch": "sketch_a"}), sketched, "b", {"n": "n_b", "sketch": "sketch_b"})
+    differ = sum((F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(SKETCH)), F.lit(0))
+    # A link has a difference of at most (100 - percent) / (100 + percent) of both sizes.
+    near = scratch.keep(near.where((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "near")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    full = _beside(_beside(near, sets, "a", {"set": "set_a"}), sets, "b", {"set": "set_b"}).select("a", "b", "set_a", "set_b")
+    return scratch.keep(full.mapInArrow(run, "a long, b long"), "links")
+
+
+def _stars(cells: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each group with the hub of each of its cells, and of each further member with its representative."""
+    hubs = cells.groupBy("token", "cell").agg(F.min(F.struct("own", "gid", "n", "i")).alias("h"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    hubs = hubs.select("token", "cell", F.col("h.gid").alias("gid"), F.col("h.n").alias("n"), F.col("h.own").alias("own"), F.col("h.i").alias("i"))
+    met = cells.alias("x").join(hubs.alias("y"), ["token", "cell"]).where((F.col("x.gid") != F.col("y.gid")) & _may("x", "y", percent))
+    return met.select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).unionByName(members.select(F.col("node").alias("a"), F.col("gid").alias("b"))).distinct()
+
+
+def _rest(cells: DataFrame, members: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of members of different components (labels: node, label) whose groups pass the filters in some cell."""
+    named = lambda df, node: df.join(labels.select(F.col("node").alias(node), "label"), node, "left").withColumn("label", F.coalesce("label", node))
+    # All members of each group, with their components.
+    every = named(members.select("gid", "node").unionByName(cells.select("gid", F.col("gid").alias("node")).distinct()), "node")
+    every = scratch.keep(every.select("gid", "node", "label"), "every")
+    spread = every.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows"))
+    placed = cells.join(spread.select("gid", "low", "high"), "gid")
+    alive = placed.groupBy("token", "cell").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.count(F.lit(1)).alias("k")).where("least <> most")
+    slices = F.ceil(F.col("k") / CHUNK).cast("int")
+    placed = scratch.keep(placed.join(alive.select("token", "cell", slices.alias("slices")), ["token", "cell"]), "cells")
+    x = placed.withColumn("slice", F.pmod(F.xxhash64("gid"), F.col("slices")).cast("int")).alias("x")
+    y = placed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).alias("y")
+    c = lambda t, name: F.col(f"{t}.{name}")
+    apart = (c("x", "low") != c("x", "high")) | (c("y", "low") != c("y", "high")) | (c("x", "low") != c("y", "low"))
+    met = x.join(y, ["token", "cell", "slice"]).where((c("x", "gid") < c("y", "gid")) & apart & _may("x", "y", percent))
+    # Members of a group that aren't of one component may link with each other, too.
+    within = spread.where("low <> high").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
+    met = scratch.keep(met.select(c("x", "gid").alias("g"), c("y", "gid").alias("h")).distinct().unionByName(within), "met")
+    counted = spread.select("gid", "rows")
+    side = lambda g, node, label: every.join(counted, "gid").select(F.col("gid").alias(g), F.col("node").alias(node), F.col("label").alias(label))
+    pairs = met.join(side("g", "a", "label_a"), "g").join(side("h", "b", "label_b"), "h").where("label_a <> label_b")
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _linked(reps: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """node and label (the least node of its component) of the nodes that links lead to a lesser one."""
+    known = reps.sparkSession.sparkContext.broadcast(_known(reps, width, percent))
+    prefixes = scratch.keep(_prefixes(reps, width, percent, known), "prefixes")
+    members, groups = _groups(prefixes, percent, scratch)
+    cells = scratch.keep(_cells(groups, percent), "cells")
+    stars = scratch.keep(_stars(cells, members, percent), "stars")
+    alive = scratch.keep(_nodes(stars), "nodes")
+    sets = _sets(reps, alive, width, scratch)
+    links = _verified(stars, sets, percent, scratch)
+    labels = scratch.keep(components(links, scratch), "labels")
+    rest = scratch.keep(_rest(cells, members, labels, percent, scratch).join(stars, ["a", "b"], "left_anti"), "rest")
+    if rest.isEmpty():
+        return labels
+    sets = sets.unionByName(_sets(reps, _nodes(rest).join(alive, "node", "left_anti"), width, scratch))
+    more = _verified(rest, sets, percent, scratch)
+    return components(links.unionByName(more), scratch)
 
 
 def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -316,24 +363,19 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     own, several = _united(own, members, scratch)
     if several is not None:
         members = scratch.keep(_members(own, width), "members")
+    sig = ["sig_a", "sig_b"]
+    classes = members.where("doc_id is not null and n > 0").groupBy(*sig).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"))
+    classes = scratch.keep(classes, "classes")
+    ids = classes.select(F.col("node").alias("doc_id"))
+    reps = own.join(_some(ids, classes.count()), "doc_id", "left_semi")
+    labels = scratch.keep(_linked(reps, width, percent, scratch), "components")
+    placed = scratch.keep(classes.join(labels, "node", "left").select(*sig, "rows", F.coalesce("label", "node").alias("component")), "placed")
     named = members.where("doc_id is not null and n > 0")
-    total = named.agg(F.sum("n")).first()[0] or 0
-    bits = int(np.clip(np.ceil(np.log2(max(total, 1))), 16, TABLE_BITS))
-    table = docs.sparkSession.sparkContext.broadcast(_counts(own, width, bits))
-    prefixes = scratch.keep(_prefixes(own, width, percent, table, bits), "prefixes")
-    families = components(_family_edges(prefixes), scratch)
-    families = families.unionByName(families.select(F.col("label").alias("node"), "label").distinct()).withColumnRenamed("label", "family")
-    sizes = named.groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n"))
-    links, cut = _verify(own, families, sizes, width, percent, scratch)
-    labels = components(links, scratch) if cut else links.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    labels = scratch.keep(labels, "labels")
-    classes = named.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("node"))
-    placed = classes.join(labels, "node", "left").select("sig_a", "sig_b", F.coalesce("label", "node").alias("component"))
-    out = members.join(placed, ["sig_a", "sig_b"], "left")
+    out = _with_class(named, placed, sig, scratch).select("doc_id", "n", "component")
+    out = out.unionByName(members.where("doc_id is null or n = 0").select("doc_id", "n", F.col("doc_id").alias("component")))
     if several is not None:
         out = out.join(several, "doc_id", "left").withColumn("rows", F.explode(F.sequence(F.lit(1), F.coalesce("rows", F.lit(1)))))
-    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from evidra.llm import ngram_join
@@ -65,6 +66,50 @@ def test_components_are_exact(spark, monkeypatch, width, percent, chunk):
     assert [r["component_id"] for r in got if r["doc_id"] is None] == [None]
 
 
+@pytest.mark.parametrize("width, percent, known", [(3, 90, 20), (5, 80, 0), (3, 70, 5)])
+def test_hot_ways_are_exact(spark, monkeypatch, width, percent, known):
+    """Slices of cells and of nodes, broadcast classes and few told counts, each forced by a small bound."""
+    for name, value in (("CHUNK", 3), ("CLASS_ROWS", 3), ("KNOWN", known)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = corpus(width + percent, 250)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(df, width, percent).collect() if r["doc_id"] is not None}
+    assert got == brute(rows, width, percent)
+
+
+def test_many_salted_classes_are_exact(spark, monkeypatch):
+    for name, value in (("CLASS_ROWS", 0), ("BROADCAST", 0)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = corpus(4, 120)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["doc_id"] is not None}
+    assert got == brute(rows, 3, 90)
+
+
+def test_links_that_no_hub_has(spark):
+    """Texts in a row, each linked with the next ones only, and a very long text among them."""
+    w = [f"w{k}" for k in range(400)]
+    rows = [(i, " ".join(w[3 * i : 3 * i + 100])) for i in range(60)] + [(100, " ".join(w) + " z" * 60_000), (101, " ".join(w) + " z" * 60_001 + " y")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 3, 90) and got[59][1] == 0 and got[101][1] == 100
+
+
+def test_group_pairs_that_link_pass_the_filters():
+    """The bound of the intersection by sizes and positions, and the sketch, against sets by brute force."""
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(2, 400))
+        x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < rng.uniform(0.8, 1)], rng.integers(0, 2**64, int(rng.integers(0, 30)), dtype=np.uint64)]))
+        differ = len(np.setxor1d(x, y))
+        bits = sum(int(a).bit_count() for a in (ngram_join.sketch(x) ^ ngram_join.sketch(y)).view(np.uint64))
+        assert bits <= differ
+        known = (np.sort(x[:: max(1, len(x) // 5)]), np.ones(len(x[:: max(1, len(x) // 5)]), np.uint8))
+        both = len(np.intersect1d(x, y))
+        if both and 100 * both >= 80 * (len(x) + len(y) - both):
+            prefix = [ngram_join.in_order(s, known, len(s) - ngram_join._least(len(s), 80) + 1) for s in (x, y)]
+            assert len(np.intersect1d(*prefix))
+
+
 def test_first_of_each(spark):
     rows = corpus(9, 150)
     df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, rows string")
