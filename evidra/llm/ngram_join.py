@@ -41,7 +41,7 @@ from evidra.llm.components import components
 from evidra.llm.shared import Scratch, give_back, text_parts
 
 #: N-grams whose counts are told to all tasks, at most (9 bytes each).
-KNOWN = 1_000_000
+KNOWN = 300_000
 #: Rows that may be broadcast (a few numbers each).
 BROADCAST = 500_000
 #: Pairs of one node, and groups of a cell, that one task handles, about.
@@ -147,7 +147,7 @@ def _flat(parts: list[np.ndarray], kind) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *parts])
 
 
-def _known(reps: DataFrame, width: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _known(reps: DataFrame, width: int, percent: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent n-grams among the first of the members' n-grams by hash, ascending, and the logarithms of their counts."""
 
     def run(batches):
@@ -157,12 +157,19 @@ def _known(reps: DataFrame, width: int, percent: int) -> tuple[np.ndarray, np.nd
             yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64))], names=["token"])
         give_back()
 
-    counts = reps.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # A fixed bound of rows.
-    told = counts.orderBy(F.desc("n"), "token").limit(KNOWN).toPandas()
+    level = F.floor(F.log2("n")).cast("int").alias("level")
+    counts = reps.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token", level)
+    counts = scratch.keep(counts, "counts")
+    # Whole levels, the highest first, as far as the bound of rows allows; a level is a row.
+    least, rows = 64, 0
+    for r in sorted(counts.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        if (rows := rows + r["n"]) > KNOWN:
+            break
+        least = r["level"]
+    told = counts.where(F.col("level") >= least).toPandas()
     token = told["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
-    return token[order], np.log2(told["n"].to_numpy(np.float64)[order]).astype(np.uint8)
+    return token[order], told["level"].to_numpy(np.uint8)[order]
 
 
 def in_order(own: np.ndarray, known: tuple[np.ndarray, np.ndarray], size: int) -> np.ndarray:
@@ -338,7 +345,7 @@ def _rest(cells: DataFrame, members: DataFrame, labels: DataFrame, percent: int,
 
 def _linked(reps: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """node and label (the least node of its component) of the nodes that links lead to a lesser one."""
-    known = reps.sparkSession.sparkContext.broadcast(_known(reps, width, percent))
+    known = reps.sparkSession.sparkContext.broadcast(_known(reps, width, percent, scratch))
     prefixes = scratch.keep(_prefixes(reps, width, percent, known), "prefixes")
     members, groups = _groups(prefixes, percent, scratch)
     cells = scratch.keep(_cells(groups, percent), "cells")
