@@ -5,8 +5,9 @@ A document's set are the 64-bit hashes of its distinct word n-grams. Two documen
 
 1. Documents of equal sets are one member; its node is its least doc_id, and only that document is read on.
 2. Rare n-grams come first in the order of the prefix filter. Those that several members have among the first of their
-   n-grams by hash are counted, with partial sums; the ``KNOWN`` most frequent ones are told to all tasks. The order is (logarithm of
-   the count told, hash). Any order gives exact results; this one keeps common passages out of the prefixes.
+   n-grams by hash are counted, with partial sums; the counts of the ``KNOWN`` most frequent ones are told to all tasks, as a table that has
+   for each range of hashes the logarithm of the greatest. The order is (that logarithm, hash). Any order gives exact results; this one
+   keeps common passages out of the prefixes.
 3. Two sets that link share an n-gram of their prefixes (the first n - ceil(t * n) + 1). Of each prefix only the tokens that some
    other member's prefix holds are kept: no other can be shared. Members with the same tokens left and the same size
    are one group, which stands for them from here on.
@@ -14,9 +15,12 @@ A document's set are the 64-bit hashes of its distinct word n-grams. Two documen
    with the least n-grams of its own. What passes the filters of group pairs - sizes, and the positions of the token, which
    bound the intersection - is expanded: each member of a group with its representative, representatives with hubs.
    Sketches (parities of hashed n-grams, which bound the difference) filter pairs once more, and the sets of what is left are intersected.
-5. The components of these verified links leave few cells with more than one component. There all groups of a cell are paired,
-   a hot cell in salted slices, and pairs that the filters pass and that aren't of one component are expanded to members of
+5. The components of these verified links leave few cells with more than one component. In those of at most ``CELL`` members all
+   groups are paired, and pairs that the filters pass and that aren't of one component are expanded to members of
    different components and verified in the same way. Pairs within a component can't change it and are never made.
+6. In larger cells pairs are no rows: the sets of their members meet in blocks of a bounded weight, intersections are counted by products
+   of a membership matrix, and a task returns a spanning forest of the links it has found. Cells of a band that have a group in common make
+   one family, so that a pair doesn't meet once for each token; a family of many n-grams is cut into chunks that meet by pairs.
 
 Sets are joined to pairs with a salt for nodes that stand in many pairs; classes of many rows get their results by a broadcast of
 a checked size.
@@ -37,15 +41,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm.components import components
-from evidra.llm.shared import Scratch, give_back, text_parts
+from evidra.llm.components import components, labels_of
+from evidra.llm.shared import Scratch, give_back, shuffle_partitions, text_parts
 
-#: N-grams whose counts are told to all tasks, at most (9 bytes each).
-KNOWN = 300_000
+#: N-grams whose counts are told to all tasks, at most, in a table of four bytes for each (rounded up to a power of two).
+KNOWN = 1 << 23
 #: Rows that may be broadcast (a few numbers each).
 BROADCAST = 500_000
-#: Pairs of one node, and groups of a cell, that one task handles, about.
-CHUNK = 256
+#: Pairs of one node that one task handles, about.
+SLICE = 256
+#: Members of a cell that are paired by a join; larger cells meet in blocks.
+CELL = 32
+#: N-grams of a chunk of a block, about.
+CHUNK = 2_000_000
+#: Columns and rows of a product of a membership matrix.
+COLUMNS, ROWS = 8192, 2048
 #: Rows of one class that are joined in one task, about.
 CLASS_ROWS = 2_000
 #: 64-bit words of a sketch.
@@ -147,8 +157,8 @@ def _flat(parts: list[np.ndarray], kind) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *parts])
 
 
-def _known(reps: DataFrame, width: int, percent: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent n-grams among the first of the members' n-grams by hash, ascending, and the logarithms of their counts."""
+def _known(reps: DataFrame, width: int, percent: int, scratch: Scratch) -> np.ndarray:
+    """A table over ranges of hashes: the logarithm of the greatest count told of an n-gram of the range."""
 
     def run(batches):
         for _, sets in _each(batches, width):
@@ -160,25 +170,34 @@ def _known(reps: DataFrame, width: int, percent: int, scratch: Scratch) -> tuple
     level = F.floor(F.log2("n")).cast("int").alias("level")
     counts = reps.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token", level)
     counts = scratch.keep(counts, "counts")
-    # Whole levels, the highest first, as far as the bound of rows allows; a level is a row.
+    # Whole levels, the highest first, as far as the bound allows; a level is a row.
     least, rows = 64, 0
     for r in sorted(counts.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
         if (rows := rows + r["n"]) > KNOWN:
             break
         least = r["level"]
-    told = counts.where(F.col("level") >= least).toPandas()
-    token = told["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(token)
-    return token[order], told["level"].to_numpy(np.uint8)[order]
-
-
-def in_order(own: np.ndarray, known: tuple[np.ndarray, np.ndarray], size: int) -> np.ndarray:
-    """The first n-grams of a sorted set: unknown ones by hash, then known ones by logarithm of the count and hash."""
-    tokens, levels = known
-    if not len(tokens):
-        return own[:size]
-    at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
-    level = np.where(tokens[at] == own, levels[at], 0)
+    bits = max(16, int(np.ceil(np.log2(4 * max(rows, 1)))))
+    bits = min(bits, int(np.ceil(np.log2(4 * max(KNOWN, 1 << 14)))))
+    low = min(bits, 16)
+    place = F.shiftrightunsigned("token", 64 - bits)
+    told = counts.where(F.col("level") >= least).select(F.shiftright(place, low).cast("int").alias("part"), place.bitwiseAND(F.lit((1 << low) - 1)).cast("int").alias("place"), "level")
+
+    def fill(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        held = np.zeros(1 << low, np.uint8)
+        np.maximum.at(held, pdf["place"].to_numpy(), pdf["level"].to_numpy().astype(np.uint8))
+        return pd.DataFrame({"part": [key[0]], "held": [held.tobytes()]})
+
+    table = np.zeros(1 << bits, np.uint8)
+    # A part has as many rows at most as places, once equal places are one; the parts are the table, which KNOWN bounds.
+    parts = told.groupBy("part", "place").agg(F.max("level").alias("level")).groupBy("part").applyInPandas(fill, "part int, held binary")
+    for r in parts.toLocalIterator():
+        table[r["part"] << low : (r["part"] + 1) << low] = np.frombuffer(r["held"], np.uint8)
+    return table
+
+
+def in_order(own: np.ndarray, table: np.ndarray, size: int) -> np.ndarray:
+    """The first n-grams of a sorted set, by the table's logarithm of the count and then by hash."""
+    level = table[own >> np.uint64(65 - len(table).bit_length())]
     return own[np.argsort(level, kind="stable")[:size]]
 
 
@@ -236,10 +255,13 @@ def _with_class(rows: DataFrame, classes: DataFrame, by: list[str], scratch: Scr
 
 
 def _cells(groups: DataFrame, percent: int) -> DataFrame:
-    """A row for each group, token and band in which others may be met; i is the token's index among the shared ones."""
+    """A row for each group, token and band in which others may be met; i is the token's index among the shared ones.
+
+    A pair meets in the cell of the lower band of the two, so one of them at least has the cell for its base.
+    """
     band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.lit(float(np.log(100 / percent))) + 1e-9).cast("int")
     rows = groups.select("gid", "n", "own", band.alias("band"), F.posexplode("tokens").alias("i", "token"))
-    return rows.withColumn("cell", F.explode(F.array(F.col("band"), F.col("band") - 1))).drop("band")
+    return rows.withColumn("cell", F.explode(F.array(F.col("band"), F.col("band") - 1))).withColumn("base", F.col("band") == F.col("cell")).drop("band")
 
 
 def _may(x: str, y: str, percent: int) -> Column:
@@ -282,7 +304,7 @@ def _sets(reps: DataFrame, nodes: DataFrame, width: int, scratch: Scratch) -> Da
 
 def _beside(pairs: DataFrame, sets: DataFrame, side: str, columns: dict[str, str]) -> DataFrame:
     """pairs with columns of their node a or b; a node of many pairs is met in as many tasks as it needs."""
-    many = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > CHUNK).select(F.col(side).alias("node"), F.ceil(F.col("k") / CHUNK).cast("int").alias("slices"))
+    many = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > SLICE).select(F.col(side).alias("node"), F.ceil(F.col("k") / SLICE).cast("int").alias("slices"))
     own = sets.select("node", *(F.col(c).alias(name) for c, name in columns.items())).join(many, "node", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
     own = own.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
     told = pairs.join(many.withColumnRenamed("node", side), side, "left").withColumn("slice", F.pmod(F.xxhash64("a", "b"), F.coalesce("slices", F.lit(1))).cast("int")).drop("slices")
@@ -310,6 +332,97 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
     return scratch.keep(full.mapInArrow(run, "a long, b long"), "links")
 
 
+def linked(sets: list[np.ndarray], percent: int, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions of sets that link. With split, only those of a set before split and one from it on."""
+    m = len(sets)
+    size = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(m), size)
+    flat, counts = np.unique(np.concatenate(sets), return_inverse=True)[1], None
+    counts = np.bincount(flat)
+    common = counts[flat] > 1
+    column = (np.cumsum(counts > 1) - 1)[flat[common]]
+    owner = owner[common]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    n_columns = int(column[-1]) + 1 if len(column) else 0
+    found_a, found_b = [], []
+    top, bottom = (range(0, m, ROWS), lambda r: range(r, m, ROWS)) if split is None else (range(0, split, ROWS), lambda r: range(split, m, ROWS))
+    for r in top:
+        r_end = min(r + ROWS, m if split is None else split)
+        for q in bottom(r):
+            q_end = min(q + ROWS, m)
+            both = np.zeros((r_end - r, q_end - q), np.float32)
+            for c in range(0, n_columns, COLUMNS):
+                a, b = np.searchsorted(column, [c, c + COLUMNS])
+                col, own = column[a:b] - c, owner[a:b]
+                width = min(COLUMNS, n_columns - c)
+                x = _block(own, col, r, r_end, width)
+                both += x @ (x if q == r and split is None else _block(own, col, q, q_end, width)).T
+            union = size[r:r_end, None] + size[None, q:q_end] - both
+            i, j = np.nonzero((100 * both >= percent * union) & (union > 0))
+            keep = i + r < j + q
+            found_a.append(i[keep] + r)
+            found_b.append(j[keep] + q)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
+
+
+def _block(owner, column, first, last, width):
+    x = np.zeros((last - first, width), np.float32)
+    own = (owner >= first) & (owner < last)
+    x[owner[own] - first, column[own]] = 1
+    return x
+
+
+def _forest(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each linked node to the least of its component."""
+    if not len(a):
+        return a, a
+    own, label = labels_of(nodes[a], nodes[b])
+    return own[own != label], label[own != label]
+
+
+def _blocks(reps: DataFrame, families: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that connect all linked members of each family (node, family, n); a node may be of several families."""
+    weights = families.groupBy("family").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    placed = _with_class(families.select("node", "family"), weights, ["family"], scratch)
+    placed = scratch.keep(placed.select(F.col("node").alias("doc_id"), "family", F.ceil(F.col("weight") / CHUNK).cast("int").alias("chunks"), "weight"), "families")
+    told = placed.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("weight") / F.lit(CHUNK)).alias("weight")).first()
+    per_family = placed.select("family", "weight").distinct().agg(F.sum("weight")).first()[0] or 0
+    # A member's families are one row.
+    mine = placed.groupBy("doc_id").agg(F.collect_list(F.struct("family", "chunks")).alias("families"))
+
+    def run(batches):
+        for part, sets in _each(batches, width):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("families"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "families", "set"])
+        give_back()
+
+    rows = reps.join(_some(mine, told["n"]), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(run, "node long, families array<struct<family: long, chunks: int>>, set binary")
+    # Small families share bins; of a large one each pair of chunks has a bin of its own.
+    rows = rows.select("node", "set", F.explode("families").alias("f")).select("node", "set", "f.family", "f.chunks")
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("chunk")).alias("i"), F.greatest(k, F.col("chunk")).alias("j")))
+    rows = rows.withColumn("chunk", chunk).withColumn("at", F.explode(others))
+    bins = max(1, 2 * int(per_family // CHUNK), 2 * shuffle_partitions(reps.sparkSession))
+    bin_ = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("family"), F.lit(bins))).otherwise(F.xxhash64("family", "at.i", "at.j"))
+    rows = rows.select("node", "family", "chunk", "set", F.col("at.i").alias("i"), F.col("at.j").alias("j"), bin_.alias("bin"))
+
+    def check(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        out_a, out_b = [], []
+        for (_, i, j), own in pdf.groupby(["family", "i", "j"], sort=False):
+            own = own.drop_duplicates("node").sort_values("chunk", kind="stable")
+            if len(own) > 1:
+                sets = [np.frombuffer(s, np.uint64) for s in own["set"]]
+                split = None if i == j else int((own["chunk"] == i).sum())
+                a, b = _forest(own["node"].to_numpy(), *linked(sets, percent, split))
+                out_a.append(a)
+                out_b.append(b)
+        give_back()
+        return pd.DataFrame({"a": _flat(out_a, np.int64), "b": _flat(out_b, np.int64)})
+
+    return scratch.keep(rows.groupBy("bin").applyInPandas(check, "a long, b long"), "block-links")
+
+
 def _stars(cells: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of each group with the hub of each of its cells, and of each further member with its representative."""
     hubs = cells.groupBy("token", "cell").agg(F.min(F.struct("own", "gid", "n", "i")).alias("h"), F.count(F.lit(1)).alias("k")).where("k > 1")
@@ -318,29 +431,36 @@ def _stars(cells: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).unionByName(members.select(F.col("node").alias("a"), F.col("gid").alias("b"))).distinct()
 
 
-def _rest(cells: DataFrame, members: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of members of different components (labels: node, label) whose groups pass the filters in some cell."""
-    named = lambda df, node: df.join(labels.select(F.col("node").alias(node), "label"), node, "left").withColumn("label", F.coalesce("label", node))
+def _rest(cells: DataFrame, members: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """What the components so far (labels: node, label) leave: pairs (a, b) of members of different ones whose groups pass the
+    filters in a small cell, and families (node, family, n) of members that meet in hot cells.
+
+    Hot cells of a band that have a group in common make one family, so that their groups meet once. Members of a group
+    that aren't of one component are a family, too.
+    """
     # All members of each group, with their components.
-    every = named(members.select("gid", "node").unionByName(cells.select("gid", F.col("gid").alias("node")).distinct()), "node")
-    every = scratch.keep(every.select("gid", "node", "label"), "every")
+    every = members.select("gid", "node").unionByName(cells.select("gid", F.col("gid").alias("node")).distinct())
+    every = every.join(labels, "node", "left").select("gid", "node", F.coalesce("label", "node").alias("label"))
+    every = scratch.keep(every, "every")
     spread = every.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows"))
-    placed = cells.join(spread.select("gid", "low", "high"), "gid")
-    alive = placed.groupBy("token", "cell").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.count(F.lit(1)).alias("k")).where("least <> most")
-    slices = F.ceil(F.col("k") / CHUNK).cast("int")
-    placed = scratch.keep(placed.join(alive.select("token", "cell", slices.alias("slices")), ["token", "cell"]), "cells")
-    x = placed.withColumn("slice", F.pmod(F.xxhash64("gid"), F.col("slices")).cast("int")).alias("x")
-    y = placed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).alias("y")
+    placed = cells.join(spread, "gid")
+    alive = placed.groupBy("token", "cell").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.sum("rows").alias("k"), F.min("gid").alias("hub"), F.max("base").alias("base")).where("least <> most and base")
+    placed = scratch.keep(placed.join(alive.select("token", "cell", "k", "hub"), ["token", "cell"]), "cells")
+    x, y = (placed.where(F.col("k") <= CELL).alias(t) for t in "xy")
     c = lambda t, name: F.col(f"{t}.{name}")
     apart = (c("x", "low") != c("x", "high")) | (c("y", "low") != c("y", "high")) | (c("x", "low") != c("y", "low"))
-    met = x.join(y, ["token", "cell", "slice"]).where((c("x", "gid") < c("y", "gid")) & apart & _may("x", "y", percent))
-    # Members of a group that aren't of one component may link with each other, too.
-    within = spread.where("low <> high").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
-    met = scratch.keep(met.select(c("x", "gid").alias("g"), c("y", "gid").alias("h")).distinct().unionByName(within), "met")
-    counted = spread.select("gid", "rows")
-    side = lambda g, node, label: every.join(counted, "gid").select(F.col("gid").alias(g), F.col("node").alias(node), F.col("label").alias(label))
+    met = x.join(y, ["token", "cell"]).where((c("x", "gid") < c("y", "gid")) & (c("x", "base") | c("y", "base")) & apart & _may("x", "y", percent))
+    met = met.select(c("x", "gid").alias("g"), c("y", "gid").alias("h")).distinct()
+    side = lambda g, node, label: every.select(F.col("gid").alias(g), F.col("node").alias(node), F.col("label").alias(label))
     pairs = met.join(side("g", "a", "label_a"), "g").join(side("h", "b", "label_b"), "h").where("label_a <> label_b")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    at = lambda gid: F.xxhash64(gid, "cell")
+    hot = scratch.keep(placed.where(F.col("k") > CELL).select("gid", "n", at("gid").alias("a"), at("hub").alias("b")).distinct(), "hot")
+    ties = components(hot.select("a", "b"), scratch)
+    met = hot.select("gid", "n", "a").distinct().join(ties.withColumnRenamed("node", "a"), "a", "left").select("gid", "n", F.coalesce("label", "a").alias("family"))
+    inner = cells.select("gid", "n").distinct().join(spread.where("low <> high").select("gid"), "gid").select("gid", "n", F.xxhash64(F.lit(1), "gid").alias("family"))
+    families = met.distinct().unionByName(inner).join(every.select("gid", "node"), "gid").select("node", "family", "n")
+    return pairs, scratch.keep(families, "met")
 
 
 def _linked(reps: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -354,12 +474,17 @@ def _linked(reps: DataFrame, width: int, percent: int, scratch: Scratch) -> Data
     sets = _sets(reps, alive, width, scratch)
     links = _verified(stars, sets, percent, scratch)
     labels = scratch.keep(components(links, scratch), "labels")
-    rest = scratch.keep(_rest(cells, members, labels, percent, scratch).join(stars, ["a", "b"], "left_anti"), "rest")
-    if rest.isEmpty():
-        return labels
-    sets = sets.unionByName(_sets(reps, _nodes(rest).join(alive, "node", "left_anti"), width, scratch))
-    more = _verified(rest, sets, percent, scratch)
-    return components(links.unionByName(more), scratch)
+    rest, families = _rest(cells, members, labels, percent, scratch)
+    rest = scratch.keep(rest.join(stars, ["a", "b"], "left_anti"), "rest")
+    more = []
+    if not rest.isEmpty():
+        sets = sets.unionByName(_sets(reps, _nodes(rest).join(alive, "node", "left_anti"), width, scratch))
+        more.append(_verified(rest, sets, percent, scratch))
+    if not families.isEmpty():
+        more.append(_blocks(reps, families, width, percent, scratch))
+    for m in more:
+        links = links.unionByName(m)
+    return components(links, scratch) if more else labels
 
 
 def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
