@@ -59,7 +59,7 @@ COLUMNS, ROWS = 8192, 2048
 #: Rows of one class that are joined in one task, about.
 CLASS_ROWS = 2_000
 #: 64-bit words of a sketch.
-SKETCH = 16
+SKETCH = 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -162,8 +162,8 @@ def _known(reps: DataFrame, width: int, percent: int, scratch: Scratch) -> np.nd
 
     def run(batches):
         for _, sets in _each(batches, width):
-            # Twice a prefix: what takes the place of a frequent n-gram is mostly counted, too.
-            first = _flat([s[: 2 * (len(s) - _least(len(s), percent) + 1)] for s in sets], np.uint64)
+            # More than a prefix: what takes the place of a frequent n-gram is mostly counted, too.
+            first = _flat([s[: 3 * (len(s) - _least(len(s), percent) + 1) // 2] for s in sets], np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64))], names=["token"])
         give_back()
 
@@ -227,7 +227,7 @@ def _groups(prefixes: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFr
     gid is the least node of a group, own the least number of n-grams of a member's prefix before its first shared one.
     """
     shared = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    each = prefixes.join(shared, "token").groupBy("node", "n").agg(F.sort_array(F.collect_set(F.struct("place", "token"))).alias("at"))
+    each = prefixes.join(shared.hint("merge"), "token").groupBy("node", "n").agg(F.sort_array(F.collect_set(F.struct("place", "token"))).alias("at"))
     each = each.select("node", "n", F.col("at.token").alias("tokens"), F.col("at")[0]["place"].alias("own"))
     sign = [F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit(7), "tokens").alias("b")]
     each = scratch.keep(each.select("node", "n", "own", "tokens", *sign), "shared")
@@ -257,24 +257,25 @@ def _with_class(rows: DataFrame, classes: DataFrame, by: list[str], scratch: Scr
 def _cells(groups: DataFrame, percent: int) -> DataFrame:
     """A row for each group, token and band in which others may be met; i is the token's index among the shared ones.
 
-    A pair meets in the cell of the lower band of the two, so one of them at least has the cell for its base.
+    hub is the cell's group with the least tokens of its own. A pair meets in the cell of the lower band of the two, so one of them at least has the cell for its base.
     """
     band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.lit(float(np.log(100 / percent))) + 1e-9).cast("int")
     rows = groups.select("gid", "n", "own", band.alias("band"), F.posexplode("tokens").alias("i", "token"))
-    return rows.withColumn("cell", F.explode(F.array(F.col("band"), F.col("band") - 1))).withColumn("base", F.col("band") == F.col("cell")).drop("band")
+    rows = rows.withColumn("cell", F.explode(F.array(F.col("band"), F.col("band") - 1))).withColumn("base", F.col("band") == F.col("cell")).drop("band")
+    hubs = rows.groupBy("token", "cell").agg(F.min(F.struct("own", "gid", "n", "i")).alias("hub"), F.count(F.lit(1)).alias("k"), F.max("base").alias("b")).where("k > 1 and b")
+    return rows.join(hubs.select("token", "cell", "hub").hint("merge"), ["token", "cell"])
 
 
-def _may(x: str, y: str, percent: int) -> Column:
+def _may(x, y, percent: int) -> Column:
     """The filters of group pairs: the sizes, and what can be shared before, at and after the token met.
 
     Tokens that no other prefix holds can't be shared, so what is before is at most the lesser index, and what is after lies behind
-    the own ones, too.
+    the own ones, too. x and y give a group's columns by name.
     """
-    c = lambda t, name: F.col(f"{t}.{name}")
-    need = F.ceil(percent * (c(x, "n") + c(y, "n")) / F.lit(100 + percent) - 1e-9)
-    rest = lambda t: c(t, "n") - c(t, "own") - c(t, "i") - 1
-    most = F.least(c(x, "i"), c(y, "i")) + 1 + F.least(rest(x), rest(y))
-    return (100 * F.least(c(x, "n"), c(y, "n")) >= percent * F.greatest(c(x, "n"), c(y, "n"))) & (most >= need)
+    need = F.ceil(percent * (x("n") + y("n")) / F.lit(100 + percent) - 1e-9)
+    rest = lambda t: t("n") - t("own") - t("i") - 1
+    most = F.least(x("i"), y("i")) + 1 + F.least(rest(x), rest(y))
+    return (100 * F.least(x("n"), y("n")) >= percent * F.greatest(x("n"), y("n"))) & (most >= need)
 
 
 def sketch(own: np.ndarray) -> np.ndarray:
@@ -288,18 +289,22 @@ def _nodes(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
 
-def _sets(reps: DataFrame, nodes: DataFrame, width: int, scratch: Scratch) -> DataFrame:
-    """node, n, set and sketch of the nodes."""
+def _read(reps: DataFrame, nodes: DataFrame, width: int, whole: bool, scratch: Scratch) -> DataFrame:
+    """node and its set, or its size n and sketch, of each of the nodes."""
 
     def run(batches):
         for part, sets in _each(batches, width):
-            sketches = np.concatenate([sketch(s) for s in sets]) if sets else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array((np.arange(len(sets) + 1) * SKETCH).astype(np.int32)), pa.array(sketches))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), lists], names=["node", "n", "set", "sketch"])
+            if whole:
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
+            else:
+                sketches = np.concatenate([sketch(s) for s in sets]) if sets else np.zeros(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array((np.arange(len(sets) + 1) * SKETCH).astype(np.int32)), pa.array(sketches))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), lists], names=["node", "n", "sketch"])
         give_back()
 
+    nodes = scratch.keep(nodes, "nodes")
     some = reps.join(_some(nodes.withColumnRenamed("node", "doc_id"), nodes.count()), "doc_id", "left_semi")
-    return scratch.keep(some.mapInArrow(run, "node long, n long, set binary, sketch array<long>").dropDuplicates(["node"]), "sets")
+    return scratch.keep(some.mapInArrow(run, "node long, set binary" if whole else "node long, n long, sketch array<long>"), "sets" if whole else "sketches")
 
 
 def _beside(pairs: DataFrame, sets: DataFrame, side: str, columns: dict[str, str]) -> DataFrame:
@@ -311,13 +316,14 @@ def _beside(pairs: DataFrame, sets: DataFrame, side: str, columns: dict[str, str
     return told.join(own.withColumnRenamed("node", side), [side, "slice"]).drop("slice")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _verified(pairs: DataFrame, reps: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """Those of the pairs of nodes (a, b) that link."""
-    sketched = sets.select("node", "n", "sketch")
+    sketched = _read(reps, _nodes(pairs), width, False, scratch)
     near = _beside(_beside(pairs, sketched, "a", {"n": "n_a", "sketch": "sketch_a"}), sketched, "b", {"n": "n_b", "sketch": "sketch_b"})
-    differ = sum((F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(SKETCH)), F.lit(0))
+    differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
     # A link has a difference of at most (100 - percent) / (100 + percent) of both sizes.
     near = scratch.keep(near.where((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "near")
+    sets = _read(reps, _nodes(near), width, True, scratch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -385,9 +391,11 @@ def _forest(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
 def _blocks(reps: DataFrame, families: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) that connect all linked members of each family (node, family, n); a node may be of several families."""
     weights = families.groupBy("family").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    # A family of some weight is dealt out to several tasks, too.
+    chunks = F.greatest(F.ceil(F.col("weight") / CHUNK), F.least(F.lit(4), F.ceil(F.col("weight") * 10 / CHUNK))).cast("int")
     placed = _with_class(families.select("node", "family"), weights, ["family"], scratch)
-    placed = scratch.keep(placed.select(F.col("node").alias("doc_id"), "family", F.ceil(F.col("weight") / CHUNK).cast("int").alias("chunks"), "weight"), "families")
-    told = placed.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("weight") / F.lit(CHUNK)).alias("weight")).first()
+    placed = scratch.keep(placed.select(F.col("node").alias("doc_id"), "family", chunks.alias("chunks"), "weight"), "families")
+    n = placed.count()
     per_family = placed.select("family", "weight").distinct().agg(F.sum("weight")).first()[0] or 0
     # A member's families are one row.
     mine = placed.groupBy("doc_id").agg(F.collect_list(F.struct("family", "chunks")).alias("families"))
@@ -397,7 +405,7 @@ def _blocks(reps: DataFrame, families: DataFrame, width: int, percent: int, scra
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("families"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "families", "set"])
         give_back()
 
-    rows = reps.join(_some(mine, told["n"]), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(run, "node long, families array<struct<family: long, chunks: int>>, set binary")
+    rows = reps.join(_some(mine, n), "doc_id").mapInArrow(run, "node long, families array<struct<family: long, chunks: int>>, set binary")
     # Small families share bins; of a large one each pair of chunks has a bin of its own.
     rows = rows.select("node", "set", F.explode("families").alias("f")).select("node", "set", "f.family", "f.chunks")
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
@@ -425,10 +433,8 @@ def _blocks(reps: DataFrame, families: DataFrame, width: int, percent: int, scra
 
 def _stars(cells: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of each group with the hub of each of its cells, and of each further member with its representative."""
-    hubs = cells.groupBy("token", "cell").agg(F.min(F.struct("own", "gid", "n", "i")).alias("h"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    hubs = hubs.select("token", "cell", F.col("h.gid").alias("gid"), F.col("h.n").alias("n"), F.col("h.own").alias("own"), F.col("h.i").alias("i"))
-    met = cells.alias("x").join(hubs.alias("y"), ["token", "cell"]).where((F.col("x.gid") != F.col("y.gid")) & _may("x", "y", percent))
-    return met.select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).unionByName(members.select(F.col("node").alias("a"), F.col("gid").alias("b"))).distinct()
+    met = cells.where((F.col("gid") != F.col("hub.gid")) & _may(F.col, lambda name: F.col(f"hub.{name}"), percent))
+    return met.select(F.col("gid").alias("a"), F.col("hub.gid").alias("b")).unionByName(members.select(F.col("node").alias("a"), F.col("gid").alias("b"))).distinct()
 
 
 def _rest(cells: DataFrame, members: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -443,13 +449,14 @@ def _rest(cells: DataFrame, members: DataFrame, labels: DataFrame, percent: int,
     every = every.join(labels, "node", "left").select("gid", "node", F.coalesce("label", "node").alias("label"))
     every = scratch.keep(every, "every")
     spread = every.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows"))
-    placed = cells.join(spread, "gid")
-    alive = placed.groupBy("token", "cell").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.sum("rows").alias("k"), F.min("gid").alias("hub"), F.max("base").alias("base")).where("least <> most and base")
+    spread = scratch.keep(spread, "spread")
+    placed = cells.drop("hub").join(_some(spread, spread.count()), "gid")
+    alive = placed.groupBy("token", "cell").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.sum("rows").alias("k"), F.min("gid").alias("hub")).where("least <> most")
     placed = scratch.keep(placed.join(alive.select("token", "cell", "k", "hub"), ["token", "cell"]), "cells")
     x, y = (placed.where(F.col("k") <= CELL).alias(t) for t in "xy")
     c = lambda t, name: F.col(f"{t}.{name}")
     apart = (c("x", "low") != c("x", "high")) | (c("y", "low") != c("y", "high")) | (c("x", "low") != c("y", "low"))
-    met = x.join(y, ["token", "cell"]).where((c("x", "gid") < c("y", "gid")) & (c("x", "base") | c("y", "base")) & apart & _may("x", "y", percent))
+    met = x.join(y, ["token", "cell"]).where((c("x", "gid") < c("y", "gid")) & (c("x", "base") | c("y", "base")) & apart & _may(lambda n: c("x", n), lambda n: c("y", n), percent))
     met = met.select(c("x", "gid").alias("g"), c("y", "gid").alias("h")).distinct()
     side = lambda g, node, label: every.select(F.col("gid").alias(g), F.col("node").alias(node), F.col("label").alias(label))
     pairs = met.join(side("g", "a", "label_a"), "g").join(side("h", "b", "label_b"), "h").where("label_a <> label_b")
@@ -470,16 +477,13 @@ def _linked(reps: DataFrame, width: int, percent: int, scratch: Scratch) -> Data
     members, groups = _groups(prefixes, percent, scratch)
     cells = scratch.keep(_cells(groups, percent), "cells")
     stars = scratch.keep(_stars(cells, members, percent), "stars")
-    alive = scratch.keep(_nodes(stars), "nodes")
-    sets = _sets(reps, alive, width, scratch)
-    links = _verified(stars, sets, percent, scratch)
+    links = _verified(stars, reps, width, percent, scratch)
     labels = scratch.keep(components(links, scratch), "labels")
     rest, families = _rest(cells, members, labels, percent, scratch)
     rest = scratch.keep(rest.join(stars, ["a", "b"], "left_anti"), "rest")
     more = []
     if not rest.isEmpty():
-        sets = sets.unionByName(_sets(reps, _nodes(rest).join(alive, "node", "left_anti"), width, scratch))
-        more.append(_verified(rest, sets, percent, scratch))
+        more.append(_verified(rest, reps, width, percent, scratch))
     if not families.isEmpty():
         more.append(_blocks(reps, families, width, percent, scratch))
     for m in more:
@@ -499,7 +503,15 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     classes = members.where("doc_id is not null and n > 0").groupBy(*sig).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"))
     classes = scratch.keep(classes, "classes")
     ids = classes.select(F.col("node").alias("doc_id"))
-    reps = own.join(_some(ids, classes.count()), "doc_id", "left_semi")
+    n = classes.count()
+    reps = own.join(_some(ids, n), "doc_id", "left_semi")
+    if not classes.where("rows > 1").isEmpty():
+        # Of equal rows of one document one is read on.
+        twice = classes.where("rows > 1").select("node").join(members.groupBy(F.col("doc_id").alias("node")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "node")
+        twice = scratch.keep(twice.select(F.col("node").alias("doc_id")), "twice")
+        if k := twice.count():
+            some = _some(twice, k)
+            reps = reps.join(some, "doc_id", "left_anti").unionByName(reps.join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     labels = scratch.keep(_linked(reps, width, percent, scratch), "components")
     placed = scratch.keep(classes.join(labels, "node", "left").select(*sig, "rows", F.coalesce("label", "node").alias("component")), "placed")
     named = members.where("doc_id is not null and n > 0")
