@@ -1,13 +1,17 @@
 """Approximate nearest neighbours by an adaptive dimension scan.
 
 Centroids of a bounded sample (``SAMPLE`` vectors with the smallest hashes of their ids, a documented parameter)
-part all vectors into lists; every vector is indexed. A query is first held against the sample, which gives an upper
-bound of the distance of its k-th neighbour, and goes with it to the lists of its ``probes`` nearest centroids. There the
-vectors, turned by a random rotation, are scanned in blocks of columns: after each block the distance so far is
+part all vectors into about sqrt(n) lists; every vector is indexed. Where the sample can't carry so many centroids, a
+second level of centroids, of the differences from the first, cuts each list further. The vectors are turned
+by a random rotation and scanned in blocks of columns: after each block the distance so far is
 an estimate of the whole one, and a candidate is abandoned as soon as a test rejects, at the error that ``EPSILON`` sets,
 that it is within the bound. What is left is measured in double precision on the original vectors.
 
-``probes`` isn't guessed: on the sample, the least number of lists that finds ``RECALL`` of the true neighbours of
+A query first scans its nearest list, whose k-th distance is its bound for the other lists that it probes; within
+a list without a bound the k-th of some candidates that look near gives one. The result comes from the probed
+lists alone: the sample's vectors are found as any others.
+
+The number of lists to probe isn't guessed: on the sample, the least one that holds ``RECALL`` of the true neighbours of
 held-out sample vectors is taken.
 
 A list of more than ``LIST_ROWS`` rows is dealt out over several tasks by hashes of vec_id, so that a list of very common
@@ -16,7 +20,7 @@ vectors is no hot group; the queries of a list are cut into blocks of ``LIST_QUE
 Defined cases: vectors that are null, zero or hold null or non-finite components take no part, nor do those whose
 length isn't the most frequent one (the shorter of equals) or whose vec_id is null; a vec_id that is repeated is one
 candidate with its smallest distance and one query with the smallest rank first; ties go to the smaller vec_id; an empty
-table gives an empty result; other columns are not read.
+table gives an empty result; where the probed lists hold fewer than k others, so many are found; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,10 +39,11 @@ from evidra.llm.shared import Scratch
 
 #: Vectors that centroids and probes are fitted on, at most.
 SAMPLE = 20_000
-MAX_LISTS = 1024
 LIST_ROWS = 4096
 LIST_QUERIES = 4096
-RECALL = 0.97
+RECALL = 0.95
+#: Lists whose sizes may be broadcast.
+BROADCAST = 500_000
 #: Standard errors of the rejection test.
 EPSILON = 2.1
 BLOCK = 16
@@ -54,14 +59,31 @@ def valid(vectors: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """What searching needs: sample (ids, vectors), centroids, rotation, and lists to probe."""
+    """What searching needs: centroids, the centroids of differences from them, the rotation, and lists to probe.
+
+    A list's number is that of its centroid times the number of differences, and its difference's.
+    """
 
-    ids: np.ndarray
-    sample: np.ndarray
     centroids: np.ndarray
+    further: np.ndarray
     rotation: np.ndarray
     probes: int
 
+    def lists(self, x: np.ndarray) -> np.ndarray:
+        """The list of each vector."""
+        own = _squares(x, self.centroids).argmin(axis=1)
+        return own * len(self.further) + _squares(x - self.centroids[own], self.further).argmin(axis=1)
+
+    def nearest(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """The lists nearest to each vector, of those of its nearest centroids."""
+        near = np.argsort(_squares(x, self.centroids), axis=1, kind="stable")[:, :probes]
+        if len(self.further) == 1:
+            return near
+        rest = x[:, None, :] - self.centroids[near]
+        d = _squares(rest.reshape(-1, x.shape[1]), self.further).reshape(len(x), -1)
+        lists = (near[:, :, None] * len(self.further) + np.arange(len(self.further))).reshape(len(x), -1)
+        return np.take_along_axis(lists, np.argsort(d, axis=1, kind="stable")[:, :probes], axis=1)
+
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] - 2 * (a @ b.T) + (b * b).sum(1)[None, :], 0)
@@ -73,29 +95,48 @@ def exact(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.sqrt((d * d).sum(axis=1))
 
 
-def fit(ids: np.ndarray, sample: np.ndarray, n_rows: int, k: int, seed: int = 42) -> Index:
-    """Centroids by Lloyd's rounds from distinct sample vectors, a random rotation, and calibrated probes."""
-    rng = np.random.default_rng(seed)
-    dim = sample.shape[1]
-    distinct = np.unique(sample, axis=0)
-    lists = int(np.clip(round(np.sqrt(n_rows)), 1, min(MAX_LISTS, max(1, len(distinct) // 8))))
-    centroids = distinct[rng.choice(len(distinct), lists, replace=False)].astype(np.float64)
-    x = sample.astype(np.float64)
+def _centroids(x: np.ndarray, lists: int, rng: np.random.Generator) -> np.ndarray:
+    """Lloyd's rounds from distinct vectors."""
+    distinct = np.unique(x, axis=0)
+    centroids = distinct[rng.choice(len(distinct), min(lists, len(distinct)), replace=False)]
     for _ in range(8):
         own = _squares(x, centroids).argmin(axis=1)
-        count = np.bincount(own, minlength=lists)
-        sums = np.stack([np.bincount(own, weights=x[:, j], minlength=lists) for j in range(dim)], axis=1)
+        count = np.bincount(own, minlength=len(centroids))
+        sums = np.stack([np.bincount(own, weights=x[:, j], minlength=len(centroids)) for j in range(x.shape[1])], axis=1)
         centroids = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centroids)
-    own = _squares(x, centroids).argmin(axis=1)
-    rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
+    return centroids
+
+
+def fit(sample: np.ndarray, n_rows: int, k: int, seed: int = 42) -> Index:
+    """Centroids of one or two levels, a random rotation, and calibrated probes."""
+    rng = np.random.default_rng(seed)
+    dim, x = sample.shape[1], sample.astype(np.float64)
+    wanted = max(1, round(np.sqrt(n_rows)))
+    centroids = _centroids(x, min(wanted, max(1, len(np.unique(sample, axis=0)) // 8)), rng)
+    further = np.zeros((1, dim))
+    if wanted >= 2 * len(centroids):
+        further = _centroids(x - centroids[_squares(x, centroids).argmin(axis=1)], wanted // len(centroids), rng)
+    index = Index(centroids, further, np.linalg.qr(rng.standard_normal((dim, dim)))[0], 1)
     test = rng.choice(len(x), min(len(x), 256), replace=False)
     d = _squares(x[test], x)
     d[np.arange(len(test)), test] = np.inf
     near = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
-    place = np.argsort(np.argsort(_squares(x[test], centroids), axis=1, kind="stable"), axis=1)
-    needed = np.sort(place[np.arange(len(test))[:, None], own[near]].ravel())
-    probes = int(needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))))]) + 1 if len(needed) else 1
-    return Index(ids, sample, centroids, rotation, min(probes, lists))
+    own, most = index.lists(x), len(centroids) * len(further)
+    probes = 1
+    while near.size and probes < most:
+        held = index.nearest(x[test], probes)
+        if np.mean((held[:, None, :] == own[near][:, :, None]).any(axis=2)) >= RECALL:
+            break
+        probes = min(most, max(probes + 1, probes * 9 // 8))
+    index.probes = probes
+    return index
+
+
+def _kth(ids: np.ndarray, score: np.ndarray, k: int) -> float:
+    """The k-th least score of distinct ids, infinite if there are fewer."""
+    order = np.argsort(score, kind="stable")
+    first = np.sort(np.unique(ids[order], return_index=True)[1])
+    return float(score[order[first[k - 1]]]) if len(first) >= k else float("inf")
 
 
 def scan_list(query: np.ndarray, bound: float, turned: np.ndarray, turned_query: np.ndarray, rows: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +148,10 @@ def scan_list(query: np.ndarray, bound: float, turned: np.ndarray, turned_query:
         b = min(a + BLOCK, dim)
         d = turned[alive, a:b] - turned_query[a:b]
         partial += np.einsum("ij,ij->i", d, d)
+        if a == 0 and len(alive) > 8 * k:
+            # Any k candidates bound the k-th distance; those that look near bound it best.
+            some = alive[np.argpartition(partial, 4 * k)[: 4 * k]]
+            bound = min(bound, _kth(ids[some], exact(query, rows[some]), k))
         # At the last block this is the distance itself, with room for rounding.
         slack = 1 + EPSILON / np.sqrt(b) if b < dim else 1 + 1e-5
         stay = partial * (dim / b) <= (slack * bound) ** 2 + 1e-12
@@ -143,54 +188,29 @@ def search(vectors: DataFrame, k: int = 10, query_every: int = 100, sample: int
     own = own.where(F.size("embedding") == dim)
     # A fixed bound of vectors reaches the driver.
     rows = own.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(sample).toPandas()
-    index = spark.sparkContext.broadcast(fit(rows["vec_id"].to_numpy(np.int64), np.stack(rows["embedding"].to_numpy()).astype(np.float32), n_rows, k))
-    lists, probes = len(index.value.centroids), index.value.probes
+    index = spark.sparkContext.broadcast(fit(np.stack(rows["embedding"].to_numpy()).astype(np.float32), n_rows, k))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column("embedding"), dim)
-            own_list = _squares(x.astype(np.float64), index.value.centroids).argmin(axis=1) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(own_list.astype(np.int32))], names=["vec_id", "raw", "list"])
+            own_list = index.value.lists(x.astype(np.float64)) if len(x) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(own_list.astype(np.int64))], names=["vec_id", "raw", "list"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it = index.value
         for batch in batches:
-            x, names = _matrix(batch.column("embedding"), dim), batch.column("vec_id").to_numpy()
-            out: dict[str, list] = {c: [] for c in ("query_id", "raw", "bound", "list", "near_id", "near_score")}
+            x = _matrix(batch.column("embedding"), dim)
             for a in range(0, len(x), 512):
-                part, own_ids = x[a : a + 512], names[a : a + 512]
-                d = _squares(part.astype(np.float64), it.sample.astype(np.float64))
-                to = np.argsort(_squares(part.astype(np.float64), it.centroids), axis=1, kind="stable")[:, :probes]
-                for i in range(len(part)):
-                    d[i, it.ids == own_ids[i]] = np.inf
-                    close = np.argpartition(d[i], min(k, d.shape[1] - 1))[: k + 1] if d.shape[1] > k else np.arange(d.shape[1])
-                    close = np.flatnonzero(d[i] <= d[i, close].max() * (1 + 1e-9) + 1e-12) if np.isfinite(d[i, close]).all() else np.flatnonzero(np.isfinite(d[i]))
-                    score = exact(part[i], it.sample[close])
-                    order = np.lexsort((it.ids[close], score))
-                    first = np.unique(it.ids[close][order], return_index=True)[1]
-                    order = order[np.sort(first)][:k]
-                    out["query_id"].append(int(own_ids[i]))
-                    out["raw"].append(part[i].tobytes())
-                    out["bound"].append(float(score[order[-1]]) if len(order) == k else float("inf"))
-                    out["list"].append(to[i].tolist())
-                    out["near_id"].append(it.ids[close][order].tolist())
-                    out["near_score"].append(score[order].tolist())
-            kinds = [pa.int64(), pa.binary(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
-
-    placed = scratch.keep(own.mapInArrow(place, "vec_id long, raw binary, list int"), "lists")
-    asked = own.where(F.col("vec_id") % query_every == 0)
-    asked = scratch.keep(asked.mapInArrow(ask, "query_id long, raw binary, bound double, list array<int>, near_id array<long>, near_score array<double>"), "queries")
-    # A row a list, at most MAX_LISTS.
-    rows_of = {r["list"]: r["n"] for r in placed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
-    goes = asked.select("query_id", "raw", "bound", F.explode("list").alias("list"))
-    asks_of = {r["list"]: r["n"] for r in goes.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = F.array(*(F.lit(-(-rows_of.get(i, 0) // LIST_ROWS) or 1) for i in range(lists)))
-    blocks = F.array(*(F.lit(-(-asks_of.get(i, 0) // LIST_QUERIES)) for i in range(lists)))
-    every = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    at = lambda table: F.element_at(table, F.col("list") + 1)
-    left = placed.withColumn("part", F.pmod(F.xxhash64("vec_id"), at(parts)).cast("int")).withColumn("block", F.explode(every(at(blocks))))
-    right = goes.withColumn("block", F.pmod(F.xxhash64("query_id"), at(blocks)).cast("int")).withColumn("part", F.explode(every(at(parts))))
+                part = x[a : a + 512]
+                to = index.value.nearest(part.astype(np.float64), index.value.probes)
+                arrays = [batch.column("vec_id").slice(a, len(part)), pa.array([r.tobytes() for r in part], pa.binary()), pa.array(to.astype(np.int64).tolist(), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "raw", "lists"])
+
+    placed = scratch.keep(own.mapInArrow(place, "vec_id long, raw binary, list long"), "lists")
+    sizes = scratch.keep(placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / LIST_ROWS).cast("int").alias("parts")), "sizes")
+    few = sizes.count() <= BROADCAST
+    with_parts = lambda df: df.join(F.broadcast(sizes) if few else sizes, "list")
+    asked = own.where(F.col("vec_id") % query_every == 0).mapInArrow(ask, "query_id long, raw binary, lists array<long>")
+    asked = scratch.keep(asked.withColumn("bound", F.lit(float("inf"))), "queries")
 
     def scan(key, cands: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         out = ([], [], [])
@@ -205,9 +225,27 @@ def search(vectors: DataFrame, k: int = 10, query_every: int = 100, sample: int
                 out[2].extend(score.tolist())
         return pd.DataFrame({"query_id": np.array(out[0], np.int64), "vec_id": np.array(out[1], np.int64), "score": np.array(out[2], np.float64)})
 
-    by = ["list", "part", "block"]
-    probed = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(scan, "query_id long, vec_id long, score double")
-    sampled = asked.select("query_id", F.explode(F.arrays_zip("near_id", "near_score")).alias("n")).select("query_id", F.col("n.near_id").alias("vec_id"), F.col("n.near_score").alias("score"))
-    one_each = probed.unionByName(sampled).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    ranked = one_each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def found_in(goes: DataFrame) -> DataFrame:
+        """query_id, vec_id and score of the nearest in the lists that queries go to; goes: query_id, raw, bound, list."""
+        blocks = goes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / LIST_QUERIES).cast("int").alias("blocks"))
+        asks = goes.join(F.broadcast(blocks) if few else blocks, "list")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = with_parts(placed).join(F.broadcast(blocks) if few else blocks, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).withColumn("block", every("blocks"))
+        right = with_parts(asks).withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).withColumn("part", every("parts"))
+        by = ["list", "part", "block"]
+        met = left.select(*by, "vec_id", "raw").groupBy(*by).cogroup(right.select(*by, "query_id", "raw", "bound").groupBy(*by))
+        return met.applyInPandas(scan, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+
+    def best(found: DataFrame) -> DataFrame:
+        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+        return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    # The nearest list that isn't empty gives the bound for the others.
+    there = asked.select("query_id", "raw", "bound", F.posexplode("lists").alias("place", "list")).join(F.broadcast(sizes.select("list")) if few else sizes.select("list"), "list", "left_semi")
+    there = scratch.keep(there, "probes")
+    nearest = there.groupBy("query_id").agg(F.min("place").alias("nearest"))
+    there = there.join(nearest, "query_id").withColumn("first", F.col("place") == F.col("nearest"))
+    first = scratch.keep(best(found_in(there.where("first").select("query_id", "raw", "bound", "list"))), "first")
+    bounds = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("told"))
+    others = there.where("not first").join(bounds, "query_id", "left").select("query_id", "raw", F.coalesce("told", "bound").alias("bound"), "list")
+    return best(first.drop("rank").unionByName(found_in(others)).groupBy("query_id", "vec_id").agg(F.min("score").alias("score")))

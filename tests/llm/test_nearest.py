@@ -63,3 +63,18 @@ def test_scan_abandons_only_the_far():
     found, score = nearest.scan_list(q, bound, x @ turn, q @ turn, x, np.arange(4000), 0, 10)
     want = np.argsort(d, kind="stable")[1:11]
     assert len(set(found) & set(want)) >= 9 and np.all(np.diff(score) >= 0)
+
+
+def test_lists_alone_find_the_neighbours(spark):
+    """A sample far below the table, two levels of lists, and far fewer lists probed than there are."""
+    rng = np.random.default_rng(5)
+    x = (rng.standard_normal((120, 16))[rng.integers(0, 120, 12_000)] + 0.15 * rng.standard_normal((12_000, 16))).astype(np.float32)
+    index = nearest.fit(x[:400], 12_000, 10)
+    lists = len(index.centroids) * len(index.further)
+    assert len(index.further) > 1 and lists >= 90 and index.probes <= lists // 3
+    ids = np.arange(12_000)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+    by = {}
+    for r in nearest.search(df, sample=400).collect():
+        by.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert sum(len(by[q] & {v for v, _ in brute(ids, x, q, 10)}) for q in range(0, 12_000, 100)) >= 0.9 * 1200
