@@ -73,7 +73,7 @@ with the License. You may obtain a copy of the License at
 def test_published_notices_as_wrapped(spark):
     got = scan(spark, [MIT, BSD, MPL, GPL.format(":", ",", 3), GPL.format(";", ";", 2), APACHE, MIT.replace("\n", "\r\n"), MIT.replace("\n\n", "\x00").replace("\n", " ").replace("\x00", "\n")])
     assert [got[i] for i in range(8)] == [
-        (3, "7,8,9", "mit"), (2, "19,20", "bsd-2-clause,bsd-3-clause"), (1, "22", "mpl-2.0"), (3, "11,12,13", "gpl-3.0"), (3, "11,12,14", "gpl-2.0"),
+        (3, "7,8,9", "mit"), (3, "19,26,20", "bsd-3-clause"), (1, "22", "mpl-2.0"), (3, "11,12,13", "gpl-3.0"), (3, "11,12,14", "gpl-2.0"),
         (3, "2,3,4", "apache-2.0"), (3, "7,8,9", "mit"), (3, "7,8,9", "mit"),
     ]
 
@@ -83,6 +83,54 @@ def test_what_is_no_wrap(spark):
     assert [got[i][2] for i in range(6)] == ["", "", "", "", "", "mit"]
 
 
+BSD_2 = """Copyright (c) 2020, Someone
+Redistribution and use in source and binary forms, with or without modification,
+are permitted provided that the following conditions are met:
+
+ * Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+ * Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS"""
+CLAUSE_3 = """ * Neither the name of Example Org., Inc nor the names of its
+   contributors may be used to endorse or promote products derived from this
+   software without specific prior written permission.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+LESSER = """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version."""
+AFFERO = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU Affero General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+
+
+def test_longer_notices_consume_their_sentences(spark):
+    name = CLAUSE_3.replace("Org., Inc", "Org")
+    got = scan(spark, [BSD_2.format(""), BSD_2.format(name), "// " + BSD_2.format(name).replace("\n", "\n// "), ISC, LESSER, AFFERO, BSD_2.format("") + "\n" + MIT,
+                       "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n", "Apache License\nVersion 2.0, January 2004", "Released under the MIT License.\nReleased under the MIT License."])
+    assert [got[i][2] for i in range(10)] == ["bsd-2-clause", "bsd-3-clause", "bsd-3-clause", "isc", "lgpl-2.1", "agpl-3.0", "bsd-2-clause,mit", "gpl-3.0", "apache-2.0", "mit"]
+    assert got[9][1] == "5,5"
+
+
+def test_unknown_licences(spark):
+    got = scan(spark, ["This file is licensed under the Foo Bar License 7.", "You may use it under\n the terms of our agreement.", "Licensed under the Foo License.\nReleased under the MIT License.", "No word of it."])
+    assert [got[i][2] for i in range(4)] == ["unknown", "unknown", "mit", ""]
+
+
+def test_repeated_long_and_clashing(spark):
+    long = "word " * 200_000 + "\nReleased under the MIT License.\n" + "x" * 300_000
+    rows = [(1, long, "a"), (1, long, "a"), (None, "Licensed under CC BY 4.0.", None), (2, None, "b")]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, ids string").withColumn("names", license_scan.F.lit(1))).collect()
+    assert sorted((r["doc_id"] or 0, r["licenses"]) for r in got) == [(0, "cc-by-4.0"), (1, "mit"), (1, "mit"), (2, "")]
+
+
 def test_odd_tables(spark):
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string, licenses int")).count() == 0
     plan = license_scan.scan(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
