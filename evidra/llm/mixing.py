@@ -7,15 +7,20 @@ ancestors, to be shared by their siblings in the same way. Each leaf then takes
 prefix of the next one, in an order that the seed and the epoch's number give; the prefix ends with the
 document that reaches the leaf's budget.
 
-The tree has a node for each leaf of the data: counts of leaves are aggregated by Spark and only these
-(bounded by ``MAX_LEAVES``, else an error) reach the driver. The prefix of a leaf is found without sorting the
+The tree is a table of a row for each node and stays one: room is summed from the leaves up, a level at a time, and budgets go down.
+Among the children of a node the fair level is found without rounds: with children in the order of room by weight, what is left
+behind each prefix of full ones is divided by the weights from there on, and the greatest of these quotients is the level at
+which every open child gets its weight's share and every other one its room. ``allot`` states the same rule for small trees.
+
+The prefix of a leaf is found without sorting the
 leaf in one task: documents fall into ranges of their order, the ranges' sums are prefix-summed, and each range is
 then summed by itself, so a leaf that holds a third of all rows is spread over as many tasks as it has ranges.
 
-Defined cases: a null level is a value of its own; a null or empty text has no token and is taken with the epoch
+Defined cases: a null level is a value of its own; very long texts are counted whole; a null or empty text has no token and is taken with the epoch
 it stands in while the leaf's budget isn't reached; documents with the same order and id (repeated rows) are
-taken in the order of their texts' hashes and, if wholly equal, together; an empty table gives an empty table; other
-columns are not read by ``select`` and pass through ``mix``.
+taken in the order of their texts' hashes and, if wholly equal, together; rows equal in id and text but of different leaves
+are taken as their own leaf has it; an empty table gives an empty table; other
+columns are not read by ``select`` and pass through ``mix``, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,11 +34,9 @@ from pyspark.sql.window import Window
 
 from evidra.llm.shared import Scratch
 
-#: Leaves of the tree, at most; they are handled on the driver.
-MAX_LEAVES = 100_000
 #: Documents of a range of a leaf's order, about.
 RANGE_ROWS = 2_000
-#: Taken documents whose ids may be broadcast.
+#: Taken documents, and leaves, that may be broadcast.
 BROADCAST = 500_000
 
 
@@ -50,7 +53,7 @@ class Plan:
 
 
 def allot(available: dict[tuple, float], budget: float, weights: dict[tuple, float]) -> dict[tuple, float]:
-    """The tokens of each leaf: available has what a leaf can take at most, by path."""
+    """The tokens of each leaf of a small tree: available has what a leaf can take at most, by path."""
     room: dict[tuple, float] = {}
     children: dict[tuple, list[tuple]] = {}
     for path, n in available.items():
@@ -100,6 +103,38 @@ def _limit(children, room, weights) -> None:
         room[path] = sum(room[c] for c in children[path] if weights.get(c, 1.0) > 0)
 
 
+def _path(levels: list[Column]) -> Column:
+    """Levels as an array without nulls: a null level is n, another one v and its value."""
+    return F.array(*(F.coalesce(F.concat(F.lit("v"), c), F.lit("n")) for c in levels))
+
+
+def budgets(leaves: DataFrame, levels: int, budget: float, weights: dict[tuple, float]) -> DataFrame:
+    """path and given of each leaf (path, room), as ``allot`` has it."""
+    spark = leaves.sparkSession
+    told = [(["n" if v is None else f"v{v}" for v in path], float(w)) for path, w in weights.items()]
+    # As many rows as the plan has weights.
+    own = F.broadcast(spark.createDataFrame(told, "path array<string>, weight double"))
+    nodes = [leaves.join(own, "path", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))]
+    for k in range(levels - 1, -1, -1):
+        room = F.sum(F.when(F.col("weight") > 0, F.col("room")).otherwise(0.0)).alias("room")
+        up = nodes[0].groupBy(F.slice("path", 1, k).alias("path")).agg(room)
+        nodes.insert(0, up.join(own, "path", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))))
+    given = nodes[0].select(F.col("path").alias("above"), F.least(F.lit(float(budget)), F.col("room")).alias("tokens"))
+    for k in range(1, levels + 1):
+        below = nodes[k].withColumn("above", F.slice("path", 1, k - 1)).join(given, "above")
+        # A child without weight gets nothing.
+        below = below.withColumn("open", F.when(F.col("weight") > 0, F.col("room") / F.col("weight")))
+        by = Window.partitionBy("above")
+        by_open = by.orderBy(F.col("open").asc_nulls_last(), "path")
+        full = F.coalesce(F.sum("room").over(by_open.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        left = F.sum(F.when(F.col("open").isNotNull(), F.col("weight"))).over(by_open.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        below = below.withColumn("quotient", F.when(F.col("open").isNotNull(), (F.col("tokens") - full) / left))
+        level = F.max("quotient").over(by)
+        got = F.when(F.col("open").isNotNull(), F.least("room", F.greatest(level, F.lit(0.0)) * F.col("weight"))).otherwise(0.0)
+        given = below.select(F.col("path").alias("above"), got.alias("tokens"))
+    return given.select(F.col("above").alias("path"), F.col("tokens").alias("given"))
+
+
 def tokens_of(text: Column) -> Column:
     """White-space words, the count of tokens unless another is given."""
     trimmed = F.trim(text, F.lit(" \t\n\r\x0b\f"))
@@ -122,23 +157,22 @@ def select(docs: DataFrame, plan: Plan, id_column: str = "doc_id", text: str = "
     count = tokens_of(F.col(text).cast("string")) if tokens is None else tokens
     own = docs.select(F.col(id_column).cast("long").alias("__evidra_id"), *(F.col(c).cast("string").alias(n) for c, n in zip(plan.levels, names)), F.coalesce(count, F.lit(0)).alias("__evidra_tokens"), F.xxhash64(F.col(text).cast("string")).alias("__evidra_tie"))
     own = scratch.keep(own, "sizes")
-    leaves = own.groupBy(*names).agg(F.sum("__evidra_tokens").alias("n"), F.count(F.lit(1)).alias("rows")).limit(MAX_LEAVES + 1).collect()
-    if len(leaves) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} leaves")
-    there = {tuple(r[n] for n in names): (r["n"], r["rows"]) for r in leaves}
-    whole = sum(n for n, _ in there.values())
-    budget = plan.budget * whole if plan.budget <= 1 else plan.budget
-    given = allot({p: float(n * plan.epochs) for p, (n, _) in there.items()}, budget, plan.weights)
-    rows = []
-    for p, (n, r) in there.items():
-        times = min(int(given[p] // n), plan.epochs) if n else 0
-        rest = given[p] - times * n if times < plan.epochs else 0.0
-        rows.append((*p, times, rest if rest > 0.5 else 0.0, max(1, r // RANGE_ROWS)))
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("__evidra_times", T.IntegerType()), T.StructField("__evidra_rest", T.DoubleType()), T.StructField("__evidra_ranges", T.IntegerType())])
-    # At most MAX_LEAVES short rows.
-    budgets = F.broadcast(spark.createDataFrame(rows, schema).withColumnsRenamed({n: f"{n}_b" for n in names}))
-    on = [F.col(n).eqNullSafe(F.col(f"{n}_b")) for n in names]
-    placed = own.join(budgets, on).drop(*(f"{n}_b" for n in names))
+    leaves = own.groupBy(*names).agg(F.sum("__evidra_tokens").alias("n"), F.count(F.lit(1)).alias("rows"))
+    leaves = scratch.keep(leaves.withColumn("path", _path([F.col(n) for n in names])), "leaves")
+    told = leaves.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("leaves")).first()
+    budget = plan.budget * (told["n"] or 0) if plan.budget <= 1 else plan.budget
+    given = budgets(leaves.select("path", (F.col("n") * plan.epochs).cast("double").alias("room")), len(names), budget, plan.weights)
+    # Budgets are whole tokens but for rounding.
+    n, given_ = F.col("n"), F.round("given", 6)
+    times = F.when(n > 0, F.least(F.floor(given_ / n), F.lit(plan.epochs))).otherwise(0).cast("int")
+    rest = F.when(F.col("__evidra_times") < plan.epochs, given_ - F.col("__evidra_times") * n).otherwise(0.0)
+    of_leaf = leaves.join(given, "path").withColumn("__evidra_times", times).withColumn("__evidra_rest", rest)
+    of_leaf = of_leaf.select(*(F.col(c).alias(f"{c}_b") for c in names), "__evidra_times", F.when(F.col("__evidra_rest") > 0.5, F.col("__evidra_rest")).otherwise(0.0).alias("__evidra_rest"), F.greatest(F.lit(1), F.floor(F.col("rows") / RANGE_ROWS)).cast("int").alias("__evidra_ranges"))
+    of_leaf = scratch.keep(of_leaf, "budgets")
+    if told["leaves"] <= BROADCAST:
+        of_leaf = F.broadcast(of_leaf)
+    on = [F.col(c).eqNullSafe(F.col(f"{c}_b")) for c in names]
+    placed = own.join(of_leaf, on).drop(*(f"{c}_b" for c in names))
     order = F.lit(None).cast("long")
     for epoch in range(plan.epochs):
         order = F.when(F.col("__evidra_times") == epoch, _order(plan.seed, epoch)).otherwise(order)
@@ -163,16 +197,21 @@ def select(docs: DataFrame, plan: Plan, id_column: str = "doc_id", text: str = "
 
 def mix(docs: DataFrame, plan: Plan, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs as often as they are taken, with all their columns."""
-    taken = select(docs, plan, id_column, text).where("__evidra_copies > 0").groupBy("__evidra_id", "__evidra_tie").agg(F.max("__evidra_copies").alias("__evidra_copies"))
-    taken = Scratch(docs.sparkSession, "taken").keep(taken)
+    scratch = Scratch(docs.sparkSession, "taken")
+    names = [f"__evidra_level_{k}" for k in range(len(plan.levels))]
+    taken = select(docs, plan, id_column, text).where("__evidra_copies > 0").groupBy("__evidra_id", "__evidra_tie", *names).agg(F.max("__evidra_copies").alias("__evidra_copies"))
+    taken = scratch.keep(taken)
     if taken.count() <= BROADCAST:
         taken = F.broadcast(taken)
-    own = docs.withColumn("__evidra_mine", F.col(id_column).cast("long")).withColumn("__evidra_text", F.xxhash64(F.col(text).cast("string")))
+    # The row is kept as one column, so that no name can clash.
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__evidra_row"), F.col(id_column).cast("long").alias("__evidra_mine"), F.xxhash64(F.col(text).cast("string")).alias("__evidra_text"), *(F.col(c).cast("string").alias(f"{n}_m") for c, n in zip(plan.levels, names)))
     on = F.col("__evidra_mine").eqNullSafe(F.col("__evidra_id")) & (F.col("__evidra_text") == F.col("__evidra_tie"))
+    for n in names:
+        on = on & F.col(n).eqNullSafe(F.col(f"{n}_m"))
     kept = own.join(taken, on)
     if plan.epochs > 1:
         kept = kept.withColumn("__evidra_copy", F.explode(F.sequence(F.lit(1), F.col("__evidra_copies"))))
-    return kept.select(*docs.columns)
+    return kept.select("__evidra_row.*")
 
 
 #: The production plan of ``documents``: domains are groups of sources, weighted 4:3:2:1.
