@@ -11,13 +11,13 @@ their own. The pipeline counts so; the query counts every row, as its SQL does.
 
 What is counted is a pair of 64-bit hashes of each line rather than the line, pre-aggregated before the shuffle, so
 a hot host or a hot line is spread over all tasks. A page of L lines can make at most L / ratio lines exceed
-the ratio, hence a host's boilerplate is a short list: it is joined to the host's pages as an array and the lines
-are filtered in place, without taking pages apart a second time. The list of all hosts is broadcast if it has
+the ratio, hence a host's boilerplate is a short list: it is joined to the host's pages as an array, cut to what the page holds by
+one hashed intersection, and the lines are filtered in place, without taking pages apart a second time. The list of all hosts is broadcast if it has
 at most ``BROADCAST`` lines by count, else joined by a shuffle that adaptive execution splits where a host is hot.
 
-Defined cases: a null text counts as empty and stays null; a null host is a host of its own; repeated rows are
-pages of their own; an empty table gives an empty table; columns with clashing names pass through, for
-all columns of this operator's own begin with ``__evidra_``.
+Defined cases: a null text counts as empty and stays null; very long texts are read whole; a null host is a host of its own; repeated rows are
+pages of their own; an empty table gives an empty table; columns of any names pass through, for a page's row is
+kept as one column.
 """
 
 from __future__ import annotations
@@ -63,27 +63,35 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RAT
     return held.join(total, by).where(F.col("__evidra_held") > ratio * F.col("__evidra_pages"))
 
 
-def dedup(pages: DataFrame, host: Column, column: str = "text", ratio: float = RATIO, least: int = LEAST, copies_once: bool = False) -> DataFrame:
+def dedup(pages: DataFrame, host: Column, column: str = "text", ratio: float = RATIO, least: int = LEAST, copies_once: bool = False, counts: bool = True) -> DataFrame:
     """pages with the boilerplate lines of their host gone from the column, and the counts of lines and of dropped lines.
 
-    The counts are in ``__evidra_lines`` and ``__evidra_dropped``.
+    The counts are in ``__evidra_lines`` and ``__evidra_dropped``, behind the columns of pages, unless they aren't asked for.
     """
     scratch = Scratch(pages.sparkSession, "lines")
     text = F.col(column).cast("string")
     found = scratch.keep(boilerplate(pages, host, F.coalesce(text, F.lit("")), ratio, least, copies_once), "boilerplate")
-    by_host = found.groupBy("__evidra_host", "__evidra_none").agg(F.collect_set("__evidra_key").alias("__evidra_drop"))
+    # Lines were counted by 128 bits; within a host's list 64 tell them apart.
+    by_host = found.groupBy("__evidra_host", "__evidra_none").agg(F.collect_set("__evidra_key.a").alias("__evidra_drop"))
     if found.count() <= BROADCAST:
         by_host = F.broadcast(by_host)
-    own = pages.withColumn("__evidra_host", F.coalesce(host, F.lit(""))).withColumn("__evidra_none", host.isNull())
+    row = F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("__evidra_row")
+    own = pages.select(row, text.alias("__evidra_text"), F.coalesce(host, F.lit("")).alias("__evidra_host"), host.isNull().alias("__evidra_none"))
     joined = own.join(by_host, ["__evidra_host", "__evidra_none"], "left")
+    text = F.col("__evidra_text")
     # A page whose host has no boilerplate keeps its text as it is.
-    pairs = F.arrays_zip(F.split(text, "\n", -1).alias("line"), _keys(text).alias("key"))
-    kept = F.transform(F.filter(pairs, lambda x: x["key"].isNull() | ~F.array_contains(F.col("__evidra_drop"), x["key"])), lambda x: x["line"])
-    lines = joined.withColumn("__evidra_kept", F.when(F.col("__evidra_drop").isNotNull() & text.isNotNull(), kept))
+    keys = F.transform(_keys(text), lambda k: k["a"])
+    lines = joined.withColumn("__evidra_keys", F.when(F.col("__evidra_drop").isNotNull() & text.isNotNull(), keys))
+    lines = lines.withColumn("__evidra_mine", F.array_intersect("__evidra_keys", "__evidra_drop"))
+    pairs = F.arrays_zip(F.split(text, "\n", -1).alias("line"), F.col("__evidra_keys").alias("key"))
+    kept = F.transform(F.filter(pairs, lambda x: x["key"].isNull() | ~F.array_contains(F.col("__evidra_mine"), x["key"])), lambda x: x["line"])
+    lines = lines.withColumn("__evidra_kept", F.when(F.size("__evidra_mine") > 0, kept))
     n = F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1
     cleaned = F.when(F.col("__evidra_kept").isNull(), text).otherwise(F.array_join("__evidra_kept", "\n"))
-    out = lines.withColumn("__evidra_lines", F.coalesce(n, F.lit(1)).cast("long")).withColumn("__evidra_dropped", F.when(F.col("__evidra_kept").isNull(), F.lit(0)).otherwise(F.col("__evidra_lines") - F.size("__evidra_kept")).cast("long"))
-    return out.withColumn(column, cleaned).select(*pages.columns, "__evidra_lines", "__evidra_dropped")
+    every = F.coalesce(n, F.lit(1)).cast("long")
+    dropped = F.when(F.col("__evidra_kept").isNull(), F.lit(0)).otherwise(every - F.size("__evidra_kept")).cast("long")
+    out = [cleaned.alias(c) if c == column else F.col("__evidra_row")[c].alias(c) for c in pages.columns]
+    return lines.select(*out, *([every.alias("__evidra_lines"), dropped.alias("__evidra_dropped")] if counts else []))
 
 
 def report(docs: DataFrame, ratio: float = RATIO, least: int = LEAST) -> DataFrame:

@@ -224,8 +224,8 @@ def domain_of(source: Column) -> Column:
     return F.when(number == "", F.lit("other")).otherwise(F.concat(F.lit("domain"), (F.when(number != "", number.cast("int")) % DOMAINS).cast("string")))
 
 
-def production_plan(epochs: int = 2, budget: float = 0.6) -> Plan:
-    return Plan(["__evidra_domain", "lang", "source"], budget, {(f"domain{k}",): float(DOMAINS - k) for k in range(DOMAINS)}, epochs, 42)
+def production_plan(epochs: int = 2, budget: float = 0.6, domain: str = "__evidra_domain") -> Plan:
+    return Plan([domain, "lang", "source"], budget, {(f"domain{k}",): float(DOMAINS - k) for k in range(DOMAINS)}, epochs, 42)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidra.llm.components import components, labels_of
-from evidra.llm.shared import Scratch, give_back, shuffle_partitions, text_parts
+from evidra.llm.shared import Scratch, give_back, shuffle_partitions, text_parts, unused
 
 #: N-grams whose counts are told to all tasks, at most, in a table of four bytes for each (rounded up to a power of two).
 KNOWN = 1 << 23
@@ -512,7 +512,9 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
         if k := twice.count():
             some = _some(twice, k)
             reps = reps.join(some, "doc_id", "left_anti").unionByName(reps.join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    labels = scratch.keep(_linked(reps, width, percent, scratch), "components")
+    steps = Scratch(docs.sparkSession, "links")
+    labels = scratch.keep(_linked(reps, width, percent, steps), "components")
+    steps.drop()
     placed = scratch.keep(classes.join(labels, "node", "left").select(*sig, "rows", F.coalesce("label", "node").alias("component")), "placed")
     named = members.where("doc_id is not null and n > 0")
     out = _with_class(named, placed, sig, scratch).select("doc_id", "n", "component")
@@ -531,13 +533,14 @@ def first_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     found = join(docs, width, percent).where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("component_id").alias("component"))
     told = scratch.keep(found.where("doc_id <> component or rows > 1"), "told")
     n = told.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("doc_id") == F.col("component"), 1)).alias("several")).first()
-    mine = docs.withColumn("__evidra_mine", F.col("doc_id").cast("long"))
+    id_ = unused("__evidra_mine", docs.columns)
+    mine = docs.withColumn(id_, F.col("doc_id").cast("long"))
     some = lambda df: F.broadcast(df) if n["n"] <= BROADCAST else df
-    ids = lambda df: some(df.select(F.col("doc_id").alias("__evidra_mine")))
-    stay = mine.join(ids(told), "__evidra_mine", "left_anti").select(*docs.columns)
+    ids = lambda df: some(df.select(F.col("doc_id").alias(id_)))
+    stay = mine.join(ids(told), id_, "left_anti").select(*docs.columns)
     if not n["several"]:
         return stay
-    once = mine.join(ids(told.where("doc_id = component")), "__evidra_mine", "left_semi").dropDuplicates(["__evidra_mine"])
+    once = mine.join(ids(told.where("doc_id = component")), id_, "left_semi").dropDuplicates([id_])
     return stay.unionByName(once.select(*docs.columns))
 
 

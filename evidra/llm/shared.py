@@ -17,13 +17,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is ``spark.checkpoint.dir`` of the session; a folder of our own is set only where that is unset.
+    It is ``spark.checkpoint.dir`` of the session. A folder of our own is set only where that is unset and all runs on
+    one machine, as in tests; on a cluster executors couldn't read a machine's folder, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     set_before = spark.sparkContext.getCheckpointDir()
     if set_before is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="evidra-"))
         set_before = spark.sparkContext.getCheckpointDir()
     return set_before.rstrip("/")
@@ -51,6 +54,13 @@ class Scratch:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, or else name with so many underscores that no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -35,6 +35,14 @@ def test_odd_tables(spark):
     assert [(r["n_lines"], r["n_dropped"]) for r in one] == [(1, 0)]
 
 
+def test_long_texts_and_names_of_its_own(spark):
+    rows = [(i, "menu\n" + f"t{i}\n" * (100_000 if i == 3 else 1) + f"x{i}" * (500_000 if i == 4 else 1), "h", 5, 6) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __evidra_host int, __evidra_lines int")
+    out = line_dedup.dedup(df, F.col("source"), ratio=0.9, counts=False)
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect())) == sorted((i, t.split("\n", 1)[1], h, 5, 6) for i, t, h, _, _ in rows)
+
+
 def test_host(spark):
     df = spark.createDataFrame([("https://u:p@Www.Example.com:80/x",), ("http://a.b?q",), ("nothing",), (None,)], "u string")
     assert [r[0] for r in df.select(line_dedup.host_of(F.col("u"))).collect()] == ["www.example.com", "a.b", None, None]
