@@ -3,6 +3,12 @@
 Each stage takes the session, the documents that its predecessor kept and the folder of the tables, and
 returns a DataFrame; all but the last return the columns of documents. ``run`` writes every stage's result as
 Parquet in the shared folder and reads it back for the next one.
+
+Defined cases, of every stage: null and empty texts have no words, so the quality rules reject them, and the later stages, called by
+themselves, keep them (they have no line, link with nothing, have no token, and are one end id); very long texts are read whole;
+repeated rows are judged one by one, and of rows that share a doc_id the join leaves one; a null doc_id never links; ties go to the
+smaller doc_id; an empty table gives an empty table with the same columns; further columns pass through whatever their names, but
+through the last stage, which returns its own. A table without labels has no quality model: the base rules alone decide.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.llm import line_dedup, mixing, ngram_join, quality_rules, sentencepiece_codec
-from evidra.llm.shared import Scratch
+from evidra.llm.shared import Scratch, unused
 
 PIECE_MODEL = "piece_bpe_32k.model"
 #: Share of the tokens that the mix may take.
@@ -28,7 +34,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their source, where copies count once; n_chars follows the text."""
-    cleaned = line_dedup.dedup(docs, F.col("source").cast("string"), copies_once=True)
+    cleaned = line_dedup.dedup(docs, F.col("source").cast("string"), copies_once=True, counts=False)
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cleaned.select(*docs.columns)
@@ -41,8 +47,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix of domains, languages and sources takes, once at most."""
-    placed = docs.withColumn("__evidra_domain", mixing.domain_of(F.col("source").cast("string")))
-    return mixing.mix(placed, mixing.production_plan(1, BUDGET)).select(*docs.columns)
+    domain = unused("__evidra_domain", docs.columns)
+    placed = docs.withColumn(domain, mixing.domain_of(F.col("source").cast("string")))
+    return mixing.mix(placed, mixing.production_plan(1, BUDGET, domain)).select(*docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
