@@ -157,13 +157,14 @@ def gather(table: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.ndarr
 
 
 class WordCache:
-    """Codes of words seen before, at most so many, in one or two generations.
+    """Codes of words seen before, at most so many and none of very long words, in one or two generations.
 
     Once the younger one is full it becomes the older one, and the older one goes; words looked up again
     move to the younger one, so frequent words stay. With one generation the cache begins anew once it is full.
     """
 
-    def __init__(self, code, limit: int, generations: int = 2):
+    def __init__(self, code, limit: int, generations: int = 2, longest: int = 64):
+        self.longest = longest
         self.code, self.most, self.keep = code, limit // generations, generations > 1
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -180,7 +181,11 @@ class WordCache:
         if len(again) < len(new):
             fresh = [w for w in new if w not in old]
             young.update(zip(fresh, self.code(fresh)))
-        return list(map(young.__getitem__, words))
+        found = list(map(young.__getitem__, words))
+        for w in new:
+            if len(w) > self.longest:
+                del young[w]
+        return found
 
 
 def split_bytes(flat: np.ndarray, counts: np.ndarray) -> list[bytes]:

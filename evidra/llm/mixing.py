@@ -199,16 +199,14 @@ def mix(docs: DataFrame, plan: Plan, id_column: str = "doc_id", text: str = "tex
     """The rows of docs as often as they are taken, with all their columns."""
     scratch = Scratch(docs.sparkSession, "taken")
     names = [f"__evidra_level_{k}" for k in range(len(plan.levels))]
-    taken = select(docs, plan, id_column, text).where("__evidra_copies > 0").groupBy("__evidra_id", "__evidra_tie", *names).agg(F.max("__evidra_copies").alias("__evidra_copies"))
+    taken = select(docs, plan, id_column, text).where("__evidra_copies > 0").groupBy("__evidra_id", "__evidra_tie", F.xxhash64(_path([F.col(n) for n in names])).alias("__evidra_leaf")).agg(F.max("__evidra_copies").alias("__evidra_copies"))
     taken = scratch.keep(taken)
     if taken.count() <= BROADCAST:
         taken = F.broadcast(taken)
     # The row is kept as one column, so that no name can clash.
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__evidra_row"), F.col(id_column).cast("long").alias("__evidra_mine"), F.xxhash64(F.col(text).cast("string")).alias("__evidra_text"), *(F.col(c).cast("string").alias(f"{n}_m") for c, n in zip(plan.levels, names)))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__evidra_row"), F.col(id_column).cast("long").alias("__evidra_mine"), F.xxhash64(F.col(text).cast("string")).alias("__evidra_text"), F.xxhash64(_path([F.col(c).cast("string") for c in plan.levels])).alias("__evidra_mine_leaf"))
     on = F.col("__evidra_mine").eqNullSafe(F.col("__evidra_id")) & (F.col("__evidra_text") == F.col("__evidra_tie"))
-    for n in names:
-        on = on & F.col(n).eqNullSafe(F.col(f"{n}_m"))
-    kept = own.join(taken, on)
+    kept = own.join(taken, on & (F.col("__evidra_mine_leaf") == F.col("__evidra_leaf")))
     if plan.epochs > 1:
         kept = kept.withColumn("__evidra_copy", F.explode(F.sequence(F.lit(1), F.col("__evidra_copies"))))
     return kept.select("__evidra_row.*")

@@ -333,6 +333,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, width: int, percent: int, scrat
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     full = _beside(_beside(near, sets, "a", {"set": "set_a"}), sets, "b", {"set": "set_b"}).select("a", "b", "set_a", "set_b")
     return scratch.keep(full.mapInArrow(run, "a long, b long"), "links")

@@ -33,6 +33,10 @@ _RUN = re.compile(" +[^ ]*")
 BATCH_CHARS = 4_000_000
 
 
+#: Words whose codes a worker keeps; some 250 bytes each.
+CACHED = 150_000
+
+
 class Codec:
     """A BPE piece model as numpy tables."""
 
@@ -92,7 +96,7 @@ class Codec:
         for c, i in self.char.items():
             if ord(c) < 0x3000:
                 self.low[ord(c)] = i
-        self.cache = WordCache(self._code, 500_000)
+        self.cache = WordCache(self._code, CACHED)
 
     def _code(self, runs: list[str]) -> list[bytes]:
         """The ids of runs, each of which stands for itself with its spaces as marks."""

@@ -79,7 +79,7 @@ def text_or_empty(column: str = "text"):
 
 
 #: Bytes of text that a Python worker works on at once.
-PART_BYTES = 1_500_000
+PART_BYTES = 500_000
 
 
 def text_parts(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PART_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

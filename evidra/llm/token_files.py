@@ -60,7 +60,7 @@ def write(docs: DataFrame, vocabulary_file: str, path: str, end: int = END) -> N
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
         held_ids = 0
-        for part, texts in text_parts(batches):
+        for part, texts in text_parts(batches, limit=1_500_000):
             for name, found in zip(part.column("doc_id").to_pylist(), codec.encode(texts, end)):
                 names.append(name)
                 ids.append(found)
