@@ -34,9 +34,12 @@ def read_sources(spark: SparkSession, folder: str, registry: DataFrame) -> DataF
 
 
 def write_artifacts(chunks: DataFrame, documents: DataFrame, path: str) -> None:
-    """pages, chunks and manifests as JSON, partitioned by document and the beginning of its hash."""
+    """pages, chunks and manifests as JSON, partitioned by document and the beginning of its hash.
+
+    Only the versions that are given are written; those of other documents and of earlier versions stay.
+    """
     short = F.substring("sha256", 1, 12).alias("sha12")
-    write = lambda df, name: df.write.mode("overwrite").partitionBy("document_id", "sha12").json(f"{path}/{name}")
+    write = lambda df, name: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id", "sha12").json(f"{path}/{name}")
     write(documents.where("pages is not null").select("document_id", short, F.inline("pages")), "pages")
     write(chunks.select("document_id", short, *[c for c in chunks.columns if c not in ("document_id", "sha256", "warnings")]), "chunks")
     write(chunks.groupBy("document_id", "sha256").agg(F.count(F.lit(1)).alias("chunks"), F.first("warnings").alias("warnings")).select("document_id", short, "sha256", "chunks", "warnings"), "manifest")
