@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidra.llm.components import components, labels_of
-from evidra.llm.shared import Scratch, give_back, shuffle_partitions, text_parts, unused
+from evidra.llm.shared import Scratch, give_back, map_batches, shuffle_partitions, text_parts, unused
 
 #: N-grams whose counts are told to all tasks, at most, in a table of four bytes for each (rounded up to a power of two).
 KNOWN = 1 << 23
@@ -130,7 +130,7 @@ def _members(docs: DataFrame, width: int) -> DataFrame:
             sig = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig[:, 0]), pa.array(sig[:, 1])], names=["doc_id", "n", "sig_a", "sig_b"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig_a long, sig_b long")
+    return map_batches(docs, run, "doc_id long, n long, sig_a long, sig_b long")
 
 
 def _united(own: DataFrame, members: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
@@ -168,7 +168,7 @@ def _known(reps: DataFrame, width: int, percent: int, scratch: Scratch) -> np.nd
         give_back()
 
     level = F.floor(F.log2("n")).cast("int").alias("level")
-    counts = reps.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token", level)
+    counts = map_batches(reps, run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token", level)
     counts = scratch.keep(counts, "counts")
     # Whole levels, the highest first, as far as the bound allows; a level is a row.
     least, rows = 64, 0
@@ -218,7 +218,7 @@ def _prefixes(reps: DataFrame, width: int, percent: int, known) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n.astype(np.int32)), pa.array(_flat([x for _, _, x in out], np.uint64).view(np.int64)), pa.array(place.astype(np.int32))], names=["node", "n", "token", "place"])
         give_back()
 
-    return reps.mapInArrow(run, "node long, n int, token long, place int")
+    return map_batches(reps, run, "node long, n int, token long, place int")
 
 
 def _groups(prefixes: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -304,7 +304,7 @@ def _read(reps: DataFrame, nodes: DataFrame, width: int, whole: bool, scratch: S
 
     nodes = scratch.keep(nodes, "nodes")
     some = reps.join(_some(nodes.withColumnRenamed("node", "doc_id"), nodes.count()), "doc_id", "left_semi")
-    return scratch.keep(some.mapInArrow(run, "node long, set binary" if whole else "node long, n long, sketch array<long>"), "sets" if whole else "sketches")
+    return scratch.keep(map_batches(some, run, "node long, set binary" if whole else "node long, n long, sketch array<long>"), "sets" if whole else "sketches")
 
 
 def _beside(pairs: DataFrame, sets: DataFrame, side: str, columns: dict[str, str]) -> DataFrame:
@@ -336,7 +336,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, width: int, percent: int, scrat
         give_back()
 
     full = _beside(_beside(near, sets, "a", {"set": "set_a"}), sets, "b", {"set": "set_b"}).select("a", "b", "set_a", "set_b")
-    return scratch.keep(full.mapInArrow(run, "a long, b long"), "links")
+    return scratch.keep(map_batches(full, run, "a long, b long"), "links")
 
 
 def linked(sets: list[np.ndarray], percent: int, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -406,7 +406,7 @@ def _blocks(reps: DataFrame, families: DataFrame, width: int, percent: int, scra
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("families"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "families", "set"])
         give_back()
 
-    rows = reps.join(_some(mine, n), "doc_id").mapInArrow(run, "node long, families array<struct<family: long, chunks: int>>, set binary")
+    rows = map_batches(reps.join(_some(mine, n), "doc_id"), run, "node long, families array<struct<family: long, chunks: int>>, set binary")
     # Small families share bins; of a large one each pair of chunks has a bin of its own.
     rows = rows.select("node", "set", F.explode("families").alias("f")).select("node", "set", "f.family", "f.chunks")
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")

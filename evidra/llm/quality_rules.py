@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidra.llm.boosted_trees import BoostedTrees, fit
-from evidra.llm.shared import text_parts
+from evidra.llm.shared import map_batches, text_parts
 
 #: Labelled documents to train on, at most.
 SAMPLE = 6000
@@ -120,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> BoostedTr
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), *(pa.array(s[f].to_numpy(float)) for f in FEATURES)], names=["doc_id", "quality", *FEATURES])
 
     schema = "doc_id long, quality int, " + ", ".join(f"{f} double" for f in FEATURES)
-    rows = own.mapInArrow(run, schema).groupBy("doc_id").agg(F.min("quality").alias("quality"), *(F.min(f).alias(f) for f in FEATURES)).toPandas().sort_values("doc_id")
+    rows = map_batches(own, run, schema).groupBy("doc_id").agg(F.min("quality").alias("quality"), *(F.min(f).alias(f) for f in FEATURES)).toPandas().sort_values("doc_id")
     y = (rows["quality"].to_numpy() > 0).astype(float)
     if len(np.unique(y)) < 2:
         return None
@@ -144,7 +144,7 @@ def judge(docs: DataFrame, trees: BoostedTrees | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(s[c].to_numpy(np.int64)) for c in COUNTS), pa.array(base_failed(s)), pa.array(kept), pa.array(score)], names=["doc_id", *COUNTS, "base_failed", "kept", "score"])
 
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, score double"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema)
 
 
 def keep(docs: DataFrame, trees: BoostedTrees | None) -> DataFrame:
@@ -156,4 +156,4 @@ def keep(docs: DataFrame, trees: BoostedTrees | None) -> DataFrame:
             _, kept = verdict(statistics(texts), held.value)
             yield part.filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

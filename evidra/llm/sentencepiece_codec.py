@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidra.llm.bpe_rounds import MergeTable, WordCache, gather, merge_words, split_bytes
-from evidra.llm.shared import text_parts, vocabulary
+from evidra.llm.shared import map_batches, text_parts, vocabulary
 
 MARK = "▁"
 _RUN = re.compile(" +[^ ]*")
@@ -253,7 +253,7 @@ def _with_column(df: DataFrame, name: str, kind: T.DataType, fill, column: str)
             arrays = [batch.column(i) for i in rest] + [fill(values)]
             yield pa.RecordBatch.from_arrays(arrays, names=[batch.schema.names[i] for i in rest] + [name])
 
-    return base.mapInArrow(run, schema)
+    return map_batches(base, run, schema)
 
 
 def encode(df: DataFrame, model: str, column: str = "text", out: str = "ids", end: bool = True) -> DataFrame:
@@ -301,4 +301,4 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
             cols = list(zip(*((len(i), sha(n), sha(d)) for i, n, d in zip(ids, codec.numbers(ids), codec.decode_bytes(ids)))))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, DIGEST)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, DIGEST)

@@ -80,6 +80,20 @@ def text_or_empty(column: str = "text"):
 
 #: Bytes of text that a Python worker works on at once.
 PART_BYTES = 500_000
+#: Bytes of a batch of rows between Spark and Python, unless the session sets a limit; one row may be larger.
+BATCH_BYTES = "4m"
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with batches bounded in bytes.
+
+    By rows alone a batch of long texts has any size, and both the executor's memory outside its heap and the Python worker hold it.
+    The limit is a setting of the session, as a plan reads it when it is run; one that the session has is left as it is.
+    """
+    if df.sparkSession.conf.get(_LIMIT, None) is None:
+        df.sparkSession.conf.set(_LIMIT, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
 
 
 def text_parts(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PART_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evidra.llm.shared import Scratch, text_parts, vocabulary
+from evidra.llm.shared import Scratch, map_batches, text_parts, vocabulary
 from evidra.llm.simple8b import pack, unpack
 from evidra.llm.word_codec import word_codec
 
@@ -73,7 +73,7 @@ def write(docs: DataFrame, vocabulary_file: str, path: str, end: int = END) -> N
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = own.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    dealt.mapInArrow(run, FILES).write.parquet(path)
+    map_batches(dealt, run, FILES).write.parquet(path)
 
 
 def read(spark, path: str) -> DataFrame:
@@ -97,7 +97,7 @@ def documents(rows: DataFrame) -> DataFrame:
                 none = np.unpackbits(np.frombuffer(r["no_id"], np.uint8), count=len(counts)).astype(bool)
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["doc_ids"], "<i8"), mask=none), pa.array(r["start"] + ends - counts), pa.array(counts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.select("start", "doc_ids", "no_id", "counts", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_batches(rows.select("start", "doc_ids", "no_id", "counts", "ids"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def report(docs: DataFrame, vocabulary_file: str) -> DataFrame:

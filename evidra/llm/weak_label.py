@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidra.llm.quality_rules import statistics
-from evidra.llm.shared import text_parts
+from evidra.llm.shared import map_batches, text_parts
 
 #: Documents whose posteriors train the scorer, at most.
 SAMPLE = 4000
@@ -175,7 +175,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["pattern", "n"])
 
     # At most 3 ** 9 patterns.
-    rows = own.select("text").mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    rows = map_batches(own.select("text"), run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     if not rows:
         return None
     keys = np.array(sorted(r["pattern"] for r in rows))
@@ -195,7 +195,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
             yield pa.RecordBatch.from_arrays([part.column("place"), pa.array(good), pa.ListArray.from_arrays(ends, pa.array(bucket.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(value.astype(np.float32)))], names=["place", "good", "bucket", "value"])
 
     some = own.join(F.broadcast(chosen), place == F.col("place"), "left_semi").select(place.alias("place"), "text").dropDuplicates(["place"])
-    rows = some.mapInArrow(features, "place long, good double, bucket array<int>, value array<float>").toPandas().sort_values("place")
+    rows = map_batches(some, features, "place long, good double, bucket array<int>, value array<float>").toPandas().sort_values("place")
     size = rows["bucket"].map(len).to_numpy()
     flat = lambda c, kind: np.concatenate([*rows[c], np.zeros(0)]).astype(kind)
     return Model(labels, fit_scorer(np.repeat(np.arange(len(rows)), size), flat("bucket", np.int64), flat("value", float), rows["good"].to_numpy()))
@@ -212,4 +212,4 @@ def classify(docs: DataFrame, model: Model | None, least: float = LEAST) -> Data
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(post), pa.array(score), pa.array(score >= least)], names=["doc_id", "posterior", "score", "kept"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, "doc_id long, posterior double, score double, kept boolean")
+    return map_batches(own, run, "doc_id long, posterior double, score double, kept boolean")
