@@ -106,22 +106,27 @@ def detect_language(c: Column, least: int = 3) -> Column:
 
 def text_quality(c: Column) -> Column:
     """Struct of score, arabic_tokens, reversed_lam_alef, malformed_tokens and replacement_chars of a text layer."""
-    tokens = F.regexp_extract_all(c, F.lit("[^\\s\\u00a0]*[\\u0600-\\u06ff][^\\s\\u00a0]*"), F.lit(0))
-    n = F.size(tokens)
-    size = lambda test: F.size(F.filter(tokens, test))
-    turned = size(lambda t: t.rlike("^[\\u0648\\u0641\\u0628\\u0643\\u0644]?\\u0627\\u0627\\u0644"))
-    bad = size(lambda t: t.rlike("^[\\u064b-\\u065f\\u0670]|[\\u0621-\\u064a][0-9\\u0660-\\u0669]+[\\u0621-\\u064a]|[\\u0656-\\u065f]"))
+    runs = F.filter(F.split(c, "[\\s\\u00a0]+", -1), lambda t: t.rlike("[\\u0600-\\u06ff]"))
     alike = lambda t: F.translate(t, "أإآى", "اااي")
     known = F.array_distinct(F.transform(F.array(*map(F.lit, FUNCTION_WORDS)), alike))
-    words = size(lambda t: F.array_contains(known, alike(F.regexp_replace(t, "^[.,:;()\\[\\]،؛«»\"']+|[.,:;()\\[\\]،؛«»\"']+$", ""))))
-    lost = _count(c, "\\ufffd") + _count(c, "\\(cid:\\d+\\)")
-    visible = F.length(strip(c))
-    penalty = F.when(n > 0, turned / n * LIGATURE_WEIGHT + bad / n).otherwise(0.0)
-    penalty = penalty + F.when((n >= ENOUGH_TOKENS) & (words / n < LEAST_SHARE), 1.0).otherwise(0.0)
-    penalty = penalty + lost * 50 / F.greatest(F.lit(1), visible)
-    score = F.when(visible == 0, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), 1 - penalty), 4))
-    shown = lambda x: F.when(visible == 0, 0).otherwise(x).cast("long")
-    return F.struct(score.alias("score"), shown(n).alias("arabic_tokens"), shown(turned).alias("reversed_lam_alef"), shown(bad).alias("malformed_tokens"), shown(lost).alias("replacement_chars"))
+
+    def told(tokens: Column) -> Column:
+        n = F.size(tokens)
+        size = lambda test: F.size(F.filter(tokens, test))
+        turned = size(lambda t: t.rlike("^[\\u0648\\u0641\\u0628\\u0643\\u0644]?\\u0627\\u0627\\u0644"))
+        bad = size(lambda t: t.rlike("^[\\u064b-\\u065f\\u0670]|[\\u0621-\\u064a][0-9\\u0660-\\u0669]+[\\u0621-\\u064a]|[\\u0656-\\u065f]"))
+        words = size(lambda t: F.array_contains(known, alike(F.regexp_replace(t, "^[.,:;()\\[\\]،؛«»\"']+|[.,:;()\\[\\]،؛«»\"']+$", ""))))
+        lost = _count(c, "\\ufffd") + _count(c, "\\(cid:\\d+\\)")
+        visible = F.length(strip(c))
+        penalty = F.when(n > 0, turned / n * LIGATURE_WEIGHT + bad / n).otherwise(0.0)
+        penalty = penalty + F.when((n >= ENOUGH_TOKENS) & (words / n < LEAST_SHARE), 1.0).otherwise(0.0)
+        penalty = penalty + lost * 50 / F.greatest(F.lit(1), visible)
+        score = F.when(visible == 0, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), 1 - penalty), 4))
+        shown = lambda x: F.when(visible == 0, 0).otherwise(x).cast("long")
+        return F.struct(score.alias("score"), shown(n).alias("arabic_tokens"), shown(turned).alias("reversed_lam_alef"), shown(bad).alias("malformed_tokens"), shown(lost).alias("replacement_chars"))
+
+    # Bound as a variable of a lambda function, the text is cut into tokens once rather than for each measure.
+    return F.transform(F.array(runs), told)[0]
 
 
 def light_stem(c: Column) -> Column:

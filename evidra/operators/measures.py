@@ -49,3 +49,19 @@ def auroc(scores: DataFrame) -> DataFrame:
     below = binned.join(F.broadcast(before), "bin").withColumn("below", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
     wins = F.sum(F.col("p") * (F.col("below") + F.col("n") * 0.5))
     return below.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.round(F.try_divide(wins, F.sum("p") * F.sum("n")), 4).alias("auroc"))
+
+
+def weighted_mean(value: Column, weight: Column) -> Column:
+    """Aggregate: the mean of a value by weight, such as a page's confidence by its words; null without any weight."""
+    total = F.sum(F.when(value.isNotNull(), weight))
+    return F.when(total != 0, F.sum(value * weight) / total)
+
+
+def one_or_mixed(value: Column) -> Column:
+    """Aggregate: the value that all rows have, or ``mixed``, such as the extraction methods of a document's pages."""
+    return F.when(F.min(value) == F.max(value), F.min(value)).otherwise(F.when(F.min(value).isNotNull(), "mixed"))
+
+
+def outcome(failed: Column) -> Column:
+    """Aggregate: failed where all rows have failed, partial where some have, succeeded where none has."""
+    return F.when(F.bool_and(failed), "failed").when(F.bool_or(failed), "partial").otherwise("succeeded")

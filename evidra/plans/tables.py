@@ -4,23 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidra.operators import versions
+from evidra.operators import measures, versions
+from evidra.operators.filters import Filters
 from evidra.plans.retrieval import table
 
 KINDS = ["signup", "purchase", "error", "view", "click"]
 
 
 def filter_isin_combo(spark, sf_dir):
-    """Conjunction of optional filters on documents."""
-    docs = table(spark, sf_dir, "documents")
-    kept = docs.where(F.col("lang").isin("en", "fr") & F.col("source").isin("src1", "src2", "src3") & (F.trim("text") != ""))
-    return kept.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    """The filters of a search, with documents for chunks: their language, and their source for a type."""
+    docs = table(spark, sf_dir, "documents").where(F.trim("text") != "")
+    chunks = docs.select(F.col("lang").alias("language"), F.col("source").alias("document_type"), F.lit("article").alias("chunk_type"), "n_chars")
+    kept = chunks.where(Filters(languages=["en", "fr"], document_types=["src1", "src2", "src3"]).condition())
+    return kept.groupBy(F.col("language").alias("lang"), F.col("document_type").alias("source")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
 def filter_array_overlap(spark, sf_dir):
-    """Sources with any of some categories."""
-    own = table(spark, sf_dir, "documents").select("doc_id", F.array(F.col("lang"), F.concat(F.lit("c"), F.length("source").cast("string"))).alias("categories"))
-    return own.where(F.arrays_overlap("categories", F.array(F.lit("fr"), F.lit("c4")))).select("doc_id", F.array_join("categories", ",").alias("categories"))
+    """Documents with any of some categories, by the filters of a search."""
+    categories = F.array(F.col("lang"), F.concat(F.lit("c"), F.length("source").cast("string")))
+    own = table(spark, sf_dir, "documents").select("doc_id", categories.alias("product_categories"), F.lit("article").alias("chunk_type"))
+    return own.where(Filters(product_categories=["fr", "c4"]).condition()).select("doc_id", F.array_join("product_categories", ",").alias("categories"))
 
 
 def active_version(spark, sf_dir):
@@ -83,16 +86,14 @@ def unknown_ids(spark, sf_dir):
 def weighted_confidence(spark, sf_dir):
     """Mean of a confidence weighted by words: quantity and price of lines of orders."""
     lines = table(spark, sf_dir, "lineitem")
-    return lines.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum(F.col("l_discount") * F.col("l_quantity")) / F.sum("l_quantity"), 6).alias("weighted"), F.count(F.lit(1)).alias("n"))
+    return lines.groupBy("l_returnflag", "l_linestatus").agg(F.round(measures.weighted_mean(F.col("l_discount"), F.col("l_quantity")), 6).alias("weighted"), F.count(F.lit(1)).alias("n"))
 
 
 def one_or_mixed(spark, sf_dir):
     """The single status of an order's lines, or mixed; and failed, partial or succeeded by the share of returns."""
     lines = table(spark, sf_dir, "lineitem")
-    found = lines.groupBy("l_orderkey").agg(F.min("l_linestatus").alias("a"), F.max("l_linestatus").alias("b"), F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("returned"), F.count(F.lit(1)).alias("n"))
-    method = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("mixed")
-    status = F.when(F.col("returned") == F.col("n"), "failed").when(F.col("returned") > 0, "partial").otherwise("succeeded")
-    return found.groupBy(method.alias("method"), status.alias("status")).agg(F.count(F.lit(1)).alias("orders"))
+    found = lines.groupBy("l_orderkey").agg(measures.one_or_mixed(F.col("l_linestatus")).alias("method"), measures.outcome(F.col("l_returnflag") == "R").alias("status"))
+    return found.groupBy("method", "status").agg(F.count(F.lit(1)).alias("orders"))
 
 
 def label_counts(spark, sf_dir):
