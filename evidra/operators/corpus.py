@@ -19,6 +19,14 @@ EMBEDDINGS = "chunk_id string, embedding array<float>, dimension int, text_sha25
 DRAFT = "DRAFT RESULTS - computed on evaluation cases that have not been reviewed by a domain expert. They indicate relative behaviour only and must not be reported as validated retrieval quality."
 
 
+def overview(sources: DataFrame, held: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Every source with its active version and count of chunks, if it has one."""
+    live = held.where("is_active").select("document_id", "version_id", "version_label")
+    counts = chunks.groupBy("version_id").agg(F.count("chunk_id").alias("chunks"))
+    own = sources.select(F.col("id").alias("document_id"), "title_original", "legal_status")
+    return own.join(live, "document_id", "left").join(counts, "version_id", "left").select("document_id", "title_original", "legal_status", "version_label", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+
+
 class Corpus:
     def __init__(self, spark: SparkSession, root: str, dimension: int = 256):
         self.spark, self.store, self.root = spark, Store(spark, root), root
@@ -35,7 +43,8 @@ class Corpus:
     def ingest(self, registry: DataFrame, folder: str, force: bool = False, only: list[str] | None = None) -> DataFrame:
         """Status of each document of the registry: created, reprocessed, reactivated, skipped, failed or missing_file."""
         if only:
-            if unknown := sorted(set(only) - {r["id"] for r in registry.select("id").collect()}):
+            asked = self.spark.createDataFrame([(i,) for i in only], "id string")
+            if unknown := sorted(r["id"] for r in versions.unknown(asked, registry, "id").collect()):
                 raise ValueError(f"unknown documents: {unknown}")
             registry = registry.where(F.col("id").isin(only))
         self.sync(registry)
@@ -87,10 +96,7 @@ class Corpus:
 
     def overview(self) -> DataFrame:
         """Every source with its active version and count of chunks, if it has one."""
-        live = self.versions().where("is_active").select("document_id", "version_id", "version_label")
-        counts = self.store.read("chunks").groupBy("version_id").agg(F.count("chunk_id").alias("chunks"))
-        own = self.store.read("sources").select(F.col("id").alias("document_id"), "title_original", "legal_status")
-        return own.join(live, "document_id", "left").join(counts, "version_id", "left").select("document_id", "title_original", "legal_status", "version_label", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+        return overview(self.store.read("sources"), self.versions(), self.store.read("chunks"))
 
     def evaluate(self, cases: dict[str, DataFrame], ks: list[int] = (1, 3, 5, 10), options: Options | None = None) -> dict:
         """Measures of each case, their means by direction, tag and all, and how top scores separate answerable cases."""

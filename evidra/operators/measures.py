@@ -65,3 +65,8 @@ def one_or_mixed(value: Column) -> Column:
 def outcome(failed: Column) -> Column:
     """Aggregate: failed where all rows have failed, partial where some have, succeeded where none has."""
     return F.when(F.bool_and(failed), "failed").when(F.bool_or(failed), "partial").otherwise("succeeded")
+
+
+def spread(value: Column, digits: int = 6) -> list[Column]:
+    """Aggregates: median, least, most and n of a measure, such as the latency of searches."""
+    return [F.round(F.median(value), digits).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"), F.count(F.lit(1)).alias("n")]

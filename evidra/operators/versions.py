@@ -42,3 +42,8 @@ def transitions(arrivals: DataFrame, document: str, content: str, order: list[st
     nth = F.row_number().over(Window.partitionBy(document, content).orderBy(*order))
     status = F.when(nth == 1, "created").when(F.lag(content).over(by) == F.col(content), "skipped").otherwise("reactivated")
     return arrivals.withColumn("status", status)
+
+
+def unknown(asked: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """The distinct keys of asked that held doesn't have."""
+    return asked.select(key).distinct().join(held.select(key), key, "left_anti")

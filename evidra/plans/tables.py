@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidra.operators import measures, versions
+from evidra.operators.corpus import overview
 from evidra.operators.filters import Filters
 from evidra.plans.retrieval import table
 
@@ -56,11 +57,12 @@ def stale_embeddings(spark, sf_dir):
 
 
 def source_overview(spark, sf_dir):
-    """All nations with their suppliers in credit: the condition is part of the join, so none is lost."""
-    nations = table(spark, sf_dir, "nation")
-    suppliers = table(spark, sf_dir, "supplier")
-    joined = nations.join(suppliers, (F.col("n_nationkey") == F.col("s_nationkey")) & (F.col("s_acctbal") > 5000), "left")
-    return joined.groupBy("n_nationkey", "n_name").agg(F.count("s_suppkey").alias("suppliers"), F.round(F.sum("s_acctbal"), 2).alias("balance"))
+    """The overview of a corpus whose sources are suppliers; those in credit have an active version, whose chunks are their lines."""
+    own = table(spark, sf_dir, "supplier")
+    sources = own.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("title_original"), F.col("s_nationkey").alias("legal_status"))
+    held = own.select(F.col("s_suppkey").alias("document_id"), F.col("s_suppkey").alias("version_id"), F.concat(F.lit("v"), F.col("s_suppkey").cast("string")).alias("version_label"), (F.col("s_acctbal") > 5000).alias("is_active"))
+    chunks = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("version_id"), F.col("l_orderkey").alias("chunk_id"))
+    return overview(sources, held, chunks)
 
 
 def corpus_stats(spark, sf_dir):
@@ -73,14 +75,14 @@ def corpus_stats(spark, sf_dir):
 def latency_summary(spark, sf_dir):
     """Median, least and most of a measure by kind."""
     events = table(spark, sf_dir, "events")
-    return events.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"), F.min("value").alias("least"), F.max("value").alias("most"), F.count(F.lit(1)).alias("n"))
+    return events.groupBy("event_type").agg(*measures.spread(F.col("value")))
 
 
 def unknown_ids(spark, sf_dir):
     """Labelled documents that don't exist, and documents without a label, as differences of keys."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
-    gone = labels.join(docs, "doc_id", "left_anti").withColumn("kind", F.lit("unknown"))
-    return gone.unionByName(docs.join(labels, "doc_id", "left_anti").withColumn("kind", F.lit("unlabelled")))
+    gone = versions.unknown(labels, docs, "doc_id").withColumn("kind", F.lit("unknown"))
+    return gone.unionByName(versions.unknown(docs, labels, "doc_id").withColumn("kind", F.lit("unlabelled")))
 
 
 def weighted_confidence(spark, sf_dir):
@@ -113,11 +115,12 @@ ORACLE = {
 SELECT CASE WHEN c_custkey IS NULL THEN 'created' WHEN k IS NULL THEN 'kept' WHEN b = c_acctbal AND s = c_mktsegment THEN 'unchanged' ELSE 'updated' END AS change,
  coalesce(s, c_mktsegment) AS c_mktsegment, count(*) AS n, round(sum(coalesce(b, c_acctbal)), 2) AS balance FROM customer FULL JOIN new ON k = c_custkey GROUP BY 1, 2""",
     "stale_embeddings": "SELECT CASE WHEN vec_id IS NULL THEN 'missing' WHEN label <> n_chars % 10 THEN 'stale' ELSE 'current' END AS state, count(*) AS n FROM documents LEFT JOIN embeddings ON vec_id = doc_id GROUP BY 1",
-    "source_overview": "SELECT n_nationkey, n_name, count(s_suppkey) AS suppliers, round(sum(s_acctbal), 2) AS balance FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey AND s_acctbal > 5000 GROUP BY ALL",
+    "source_overview": """SELECT s_suppkey AS document_id, s_name AS title_original, s_nationkey AS legal_status, CASE WHEN s_acctbal > 5000 THEN 'v' || s_suppkey END AS version_label,
+ CASE WHEN s_acctbal > 5000 THEN (SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey) ELSE 0 END AS chunks FROM supplier""",
     "corpus_stats": r"""SELECT source, count(*) AS docs, sum(len(w))::BIGINT AS words, sum(len(list_filter(w, lambda x: length(x) >= 2)))::BIGINT AS words_2plus
 FROM (SELECT source, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents) GROUP BY source""",
     "latency_summary": "SELECT event_type, round(median(value), 6) AS median, min(value) AS least, max(value) AS most, count(*) AS n FROM events GROUP BY 1",
-    "unknown_ids": "SELECT doc_id, 'unknown' AS kind FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT doc_id, 'unlabelled' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "unknown_ids": "SELECT DISTINCT doc_id, 'unknown' AS kind FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT doc_id, 'unlabelled' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "weighted_confidence": "SELECT l_returnflag, l_linestatus, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS weighted, count(*) AS n FROM lineitem GROUP BY ALL",
     "one_or_mixed": """WITH o AS (SELECT CASE WHEN count(DISTINCT l_linestatus) = 1 THEN min(l_linestatus) ELSE 'mixed' END AS method, CASE WHEN bool_and(l_returnflag = 'R') THEN 'failed' WHEN bool_or(l_returnflag = 'R') THEN 'partial' ELSE 'succeeded' END AS status FROM lineitem GROUP BY l_orderkey)
 SELECT method, status, count(*) AS orders FROM o GROUP BY ALL""",
