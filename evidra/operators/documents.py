@@ -6,14 +6,11 @@ A snapshot of a table is computed as a whole from the one before and what has ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.functions import legal
 from evidra.functions.text import clean_original, embedding_input, with_retrieval_text
+from evidra.operators import structure
 
 PIPELINE = "evidra-1"
 REFERENCES = "array<struct<raw:string,article_number:string,external:boolean>>"
@@ -32,26 +29,12 @@ def from_files(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), F.array(F.struct(F.lit(1).alias("page"), text.alias("text"))).alias("pages"))
 
 
-def chunked(documents: DataFrame, limits: legal.Limits = legal.Limits()) -> DataFrame:
+def chunked(documents: DataFrame, limits: structure.Limits = structure.Limits()) -> DataFrame:
     """Chunks with the folded text, and ``warnings`` of their document.
 
-    documents: document_id, sha256, title, language, pages (array of page, text) and tables (array of page, rows). Each
-    document is a row, so nothing is shuffled.
+    documents: document_id, sha256, title, language, pages (array of page, text) and tables (array of page, rows).
     """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for d in frame.to_dict("records"):
-                pages = [(p["page"], p["text"] or "") for p in (d["pages"] if d["pages"] is not None else [])]
-                tables = [(t["page"], [list(r) for r in t["rows"]]) for t in (d["tables"] if d["tables"] is not None else []) if len(t["rows"])]
-                segments, warn = legal.parse(pages, d["language"])
-                found, more = legal.chunks(d["document_id"], d["sha256"], d["title"] or "", d["language"], segments, tables, limits)
-                rows += [{"document_id": d["document_id"], "sha256": d["sha256"], **c, "warnings": warn + more} for c in found]
-            yield pd.DataFrame(rows, columns=[*COLUMNS, "warnings"])
-
-    own = documents.select("document_id", "sha256", "title", "language", "pages", "tables")
-    out = own.mapInPandas(run, f"{CHUNK}, warnings array<string>")
+    out = structure.chunks(documents.select("document_id", "sha256", "title", "language", "pages", "tables"), limits)
     out = out.withColumn("embedding_input", embedding_input(F.col("context_header"), F.col("text_original")))
     out = with_retrieval_text(out, "embedding_input", "text_retrieval")
     return out.withColumn("version_id", F.xxhash64("document_id", "sha256"))

@@ -7,17 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def word_windows(text: Column, size: int, overlap: int) -> Column:
-    """Array of (index, words) of overlapping windows; the last one reaches the end."""
+def overlapping(items: Column, size: int, overlap: int) -> Column:
+    """Array of windows of an array, each a step after the one before; the last one reaches the end."""
     step = max(1, size - overlap)
 
-    def cut(words: Column) -> Column:
-        n = F.size(words)
+    def cut(own: Column) -> Column:
+        n = F.size(own)
         starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step)), lambda i: (n > 0) & ((i == 0) | (i - step + size < n)))
-        return F.transform(starts, lambda i, k: F.struct(k.cast("long").alias("index"), F.slice(words, i + 1, F.lit(size)).alias("words")))
+        return F.transform(starts, lambda i: F.slice(own, i + 1, F.lit(size)))
+
+    # Bound as a variable of a lambda function, the items are made once rather than once for each window.
+    return F.transform(F.array(items), cut)[0]
 
-    # Bound as a variable of a lambda function, the words are split once rather than once for each window.
-    return F.transform(F.array(F.filter(F.split(text, "\\s+", -1), lambda w: w != "")), cut)[0]
+
+def word_windows(text: Column, size: int, overlap: int) -> Column:
+    """Array of (index, words) of overlapping windows of a text's words."""
+    words = F.filter(F.split(text, "\\s+", -1), lambda w: w != "")
+    return F.transform(overlapping(words, size, overlap), lambda w, k: F.struct(k.cast("long").alias("index"), w.alias("words")))
 
 
 def carry(df: DataFrame, key: str, order: list[str], value: Column, out: str) -> DataFrame:
