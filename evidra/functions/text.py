@@ -86,11 +86,13 @@ _STABLE = "^[\\u0000-\\u009f\\u00a1-\\u00a7\\u00a9\\u00ab-\\u00ae\\u00b0\\u00b1\
 
 
 def with_retrieval_text(df: DataFrame, column: str, out: str, **options: bool) -> DataFrame:
-    """df with the matched form of a column; rows that NFKC may change go through Python, all others stay in the JVM."""
+    """df with the matched form of a column.
+
+    Texts that NFKC leaves alone go to Python as nulls, so df is computed once, and not in Python where ``out`` isn't read.
+    """
     stable = F.coalesce(F.col(column), F.lit("")).rlike(_STABLE)
-    plain = df.where(stable).withColumn(out, fold(F.col(column), **options))
-    other = df.where(~stable).withColumn(out, fold(nfkc(F.col(column)), **options))
-    return plain.unionByName(other)
+    changed = nfkc(F.when(~stable, F.col(column)))
+    return df.withColumn(out, fold(F.coalesce(changed, F.col(column)), **options))
 
 
 def _count(c: Column, pattern: str) -> Column:

@@ -176,7 +176,8 @@ def windowed(lines: Column, limits: Limits) -> Column:
 
     def pages(window: Column) -> Column:
         turns = cut_at(window, lambda w, i: (i == 0) | (w["page"] != F.get(window, i - 1)["page"]))
-        return F.transform(turns["groups"], line)
+        alone = F.size(F.array_distinct(F.transform(window, lambda w: w["page"]))) == 1
+        return F.when(alone, F.array(line(window))).otherwise(F.transform(turns["groups"], line))
 
     return F.transform(windows.overlapping(words, limits.max_tokens, limits.overlap), lambda w: _let(w, pages))
 
