@@ -126,4 +126,10 @@ ORACLE = {
 SELECT p.chunk_id AS related_to, found AS chunk_id, 0::BIGINT AS place FROM p JOIN first ON first.version_id = p.version_id AND first.article = p.ref WHERE NOT outside""",
     "definition_expand": """WITH t AS (SELECT doc_id AS found, lang, lower(regexp_replace(text, '[.,]', '', 'g')) AS term, regexp_replace(text, '[.,]', '', 'g') AS shown FROM documents WHERE n_chars <= 40)
 SELECT doc_id AS related_to, found AS chunk_id, row_number() OVER (PARTITION BY doc_id ORDER BY length(term) DESC, found) AS place FROM documents JOIN t USING (lang) WHERE n_chars > 40 AND trim(shown) <> '' AND contains(lower(text), term) QUALIFY place <= 2""",
+    # Texts without headings: one chunk, or windows of 450 words that share 60.
+    "document_chunks": r"""WITH l AS (SELECT doc_id, text, lang, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS x, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT *, unnest(CASE WHEN len(w) > 450 THEN range(0, len(w), 390) ELSE [0] END) AS i FROM l WHERE len(w) > 0),
+c AS (SELECT doc_id, lang, text AS whole, CASE WHEN len(w) > 450 THEN array_to_string(list_slice(w, i + 1, i + 450), ' ') ELSE array_to_string(x, chr(10)) END AS text, least(len(w) - i, 450) AS tokens, i // 390 + 1 AS n FROM s WHERE i = 0 OR i - 390 + 450 < len(w)),
+k AS (SELECT *, length(regexp_replace(text, '[^ء-يٱ-ۓ]', '', 'g')) AS a, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS b FROM c)
+SELECT 'doc-' || doc_id || '@' || left(sha256(whole), 12) || '#text-' || n AS chunk_id, 'text' AS chunk_type, CASE WHEN a + b < 3 THEN CASE WHEN lang = 'en' THEN 'en' ELSE 'unknown' END WHEN a / (a + b) >= 0.8 THEN 'ar' WHEN b / (a + b) >= 0.8 THEN 'en' ELSE 'mixed' END AS language, tokens::BIGINT AS token_count, sha256(text) AS content_sha256 FROM k""",
 }

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from evidra.functions import legal
 from evidra.functions import text as t
 from evidra.functions.references import article_reference
-from evidra.operators import windows
+from evidra.operators import structure, windows
 from evidra.operators.search import resolve_instrument
 from evidra.plans.retrieval import table
 
@@ -20,8 +20,8 @@ ASKED = {
 }
 TITLES = {"law-a": "قانون الزراعة رقم 13", "bylaw-b": "Licensing Bylaw 2004", "bylaw-c": "نظام الرخص نظام", "treaty-d": "Trade agreement Annex on goods", "law-e": "Trade law"}
 LINES = [
-    (1, 1, "Preface"), (1, 2, "CHAPTER One"), (1, 3, "Article 1 Terms"), (1, 4, "Licence : a permit to import"), (1, 5, "issued by the ministry"), (1, 6, "Goods : things"), (1, 7, "Article 2"), (1, 8, "1. First duty"),
-    (1, 9, "still first"), (1, 10, "2. Second duty"), (1, 11, "- amended in 2004"), (1, 12, "old wording"), (2, 1, "Article 1"), (2, 2, "Body"),
+    (1, 1, "Preface"), (1, 2, "CHAPTER One"), (1, 3, "Article 1 Terms"), (1, 4, "The following definitions apply:"), (1, 5, "Licence : a permit to import"), (1, 6, "issued by the ministry"), (1, 7, "Goods : things"),
+    (1, 8, "Article 2"), (1, 9, "1. First duty"), (1, 10, "still first"), (1, 11, "2. Second duty"), (1, 12, "- هكذا اصبحت هذه المادة"), (1, 13, "old wording"), (2, 1, "Article 1"), (2, 2, "Body"), (2, 3, "PART Two"), (2, 4, "Article 3"),
 ]
 UNITS = {1: [100, 200, 300, 500, 10, 20], 2: [450], 3: [], 4: [449, 1, 1, 451, 5]}
 
@@ -65,43 +65,50 @@ def word_windows(spark, sf_dir):
     return docs.select("doc_id", "index", F.size("words").cast("long").alias("n"), F.md5(F.array_join("words", " ")).alias("words"))
 
 
+def _laws(spark):
+    """The fixed lines as documents of one page."""
+    lines = spark.createDataFrame(LINES, "doc_id long, pos long, line string").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("l"))
+    page = F.struct(F.lit(1).alias("page"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+    tables = F.array().cast("array<struct<page:int,rows:array<array<string>>>>")
+    return lines.select("doc_id", F.col("doc_id").cast("string").alias("document_id"), F.lit("0" * 64).alias("sha256"), F.lit("T").alias("title"), F.lit("en").alias("language"), F.array(page).alias("pages"), tables.alias("tables"))
+
+
+def _documents(spark, sf_dir):
+    page = F.struct(F.lit(1).alias("page"), F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array(page).alias("pages"))
+
+
 def heading_carry_forward(spark, sf_dir):
-    lines = spark.createDataFrame(LINES, "doc_id long, pos long, line string")
-    head = F.when(F.col("line").rlike("^Article [0-9]+"), F.regexp_extract("line", "^Article ([0-9]+)", 1))
-    section = F.when(F.col("line").rlike("^CHAPTER "), F.col("line"))
-    return windows.carry(windows.carry(lines, "doc_id", ["pos"], head, "article"), "doc_id", ["pos"], section, "section").select("doc_id", "pos", "article", "section")
+    """The segments of documents, with the section and the article that are carried to their lines."""
+    own = structure.structured(_laws(spark)).select("doc_id", F.posexplode("segments").alias("place", "s"))
+    return own.select("doc_id", F.col("place").cast("long").alias("place"), F.col("s.number").alias("article"), F.col("s.section").alias("section"), F.size("s.lines").cast("long").alias("lines"))
 
 
 def clause_groups(spark, sf_dir):
-    """Lines of documents put to the last line that begins a clause."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    grouped = windows.numbered_groups(lines, "doc_id", ["pos"], F.length("line") < 40, "clause")
-    return grouped.groupBy("doc_id", "clause").agg(F.count(F.lit(1)).alias("lines"), F.min("pos").cast("long").alias("first"))
+    """The lines of every document put to the clause that they belong to; those before the first are its lead."""
+    cut = structure.cut_at(structure.lines_of(F.col("pages")), lambda x, i: legal.is_clause(x["text"]))
+    own = _documents(spark, sf_dir).select("doc_id", cut.alias("c"))
+    sizes = F.filter(F.concat(F.array(F.size("c.lead")), F.transform("c.groups", F.size)), lambda n: n >= 0)
+    return own.select("doc_id", F.posexplode(sizes).alias("clause", "lines")).select("doc_id", F.col("clause").cast("long").alias("clause"), F.col("lines").cast("long").alias("lines"))
 
 
 def definition_split(spark, sf_dir):
-    lines = spark.createDataFrame(LINES, "doc_id long, pos long, line string")
-    term = F.regexp_extract("line", "^\\s*([^:]{1,80}?)\\s*:\\s*(.+)$", 1)
-    opens = (term != "") & (t.count_tokens(term) <= 6)
-    numbered = windows.numbered_groups(lines, "doc_id", ["pos"], opens, "term").where("term > 0")
-    own = numbered.groupBy("doc_id", "term").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("l"))
-    return own.select("doc_id", "term", F.array_join(F.transform("l", lambda x: x["line"]), "|").alias("lines"))
+    """The chunks of an article of definitions, one a term."""
+    own = structure.chunks(_laws(spark)).where("chunk_type = 'definitions'")
+    return own.select(F.col("document_id").cast("long").alias("doc_id"), F.col("definition_term").alias("term"), "part_count", F.replace("text_original", F.lit("\n"), F.lit("|")).alias("lines"))
 
 
 def history_split(spark, sf_dir):
-    """Lines from the first amendment note on are history."""
-    lines = spark.createDataFrame(LINES, "doc_id long, pos long, line string")
-    first = F.min(F.when(F.col("line").rlike("^- amended"), F.col("pos"))).over(Window.partitionBy("doc_id"))
-    return lines.select("doc_id", "pos", F.coalesce(F.col("pos") >= first, F.lit(False)).alias("history"))
+    """Lines from the first amendment note on are history, and are chunks of their own."""
+    own = structure.chunks(_laws(spark)).where("parent_key is null or chunk_type = 'amendment_history'")
+    return own.select(F.col("document_id").cast("long").alias("doc_id"), "key", F.replace("text_original", F.lit("\n"), F.lit("|")).alias("lines"), (F.size("caveats") > 0).alias("caveat"))
 
 
 def part_numbers(spark, sf_dir):
-    """Number and count of the windows of each document, and keys made distinct."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
-    keyed = docs.groupBy("doc_id", F.length("line").cast("long").alias("key"), "line").agg(F.count(F.lit(1)).alias("times"))
-    order = Window.partitionBy("doc_id", "key").orderBy("line")
-    nth = F.row_number().over(order)
-    return keyed.select("doc_id", F.when(nth == 1, F.col("key").cast("string")).otherwise(F.concat(F.col("key").cast("string"), F.lit("~"), nth.cast("string"))).alias("key"), "times", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "key")).alias("parts"))
+    """Every document in windows of 60 words, 10 of them shared: their place, number and text."""
+    cut = structure.windowed(structure.lines_of(F.col("pages")), structure.Limits(60, 10))
+    own = _documents(spark, sf_dir).select("doc_id", cut.alias("w"))
+    return own.select("doc_id", F.size("w").cast("long").alias("parts"), F.posexplode("w").alias("part", "l")).select("doc_id", "parts", F.col("part").cast("long").alias("part"), F.md5(structure.joined(F.col("l"))).alias("text"))
 
 
 def greedy_pack(spark, sf_dir):
@@ -152,15 +159,22 @@ SELECT query_id, CASE WHEN na = 1 THEN ltrim(translate(a1, '٠١٢٣٤٥٦٧٨٩
     "word_windows": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, w, unnest(range(0, len(w), 30)) AS i FROM w)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::BIGINT AS index, len(list_slice(w, i + 1, i + 40))::BIGINT AS n, md5(array_to_string(list_slice(w, i + 1, i + 40), ' ')) AS words FROM s WHERE i = 0 OR i - 30 + 40 < len(w)""",
-    "heading_carry_forward": "WITH " + _sql(LINES, "doc_id, pos, line") + r""", h AS (SELECT *, nullif(regexp_extract(line, '^Article ([0-9]+)', 1), '') AS a, CASE WHEN line LIKE 'CHAPTER %' THEN line END AS s FROM t)
-SELECT doc_id::BIGINT AS doc_id, pos::BIGINT AS pos, last_value(a IGNORE NULLS) OVER w AS article, last_value(s IGNORE NULLS) OVER w AS section FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)""",
-    "clause_groups": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), e AS (SELECT doc_id, i - 1 AS pos, x[i] AS line FROM l, unnest(range(1, len(x) + 1)) AS u(i)),
-g AS (SELECT *, sum(CASE WHEN length(line) < 40 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS clause FROM e)
-SELECT doc_id, clause::BIGINT AS clause, count(*) AS lines, min(pos)::BIGINT AS first FROM g GROUP BY 1, 2""",
-    "definition_split": "WITH " + _sql(LINES, "doc_id, pos, line") + r""", g AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^\s*[^:]{1,80}\s*:\s*.+$') AND len(string_split(trim(split_part(line, ':', 1)), ' ')) <= 6 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS term FROM t)
-SELECT doc_id::BIGINT AS doc_id, term::BIGINT AS term, string_agg(line, '|' ORDER BY pos) AS lines FROM g WHERE term > 0 GROUP BY 1, 2""",
-    "history_split": "WITH " + _sql(LINES, "doc_id, pos, line") + " SELECT doc_id::BIGINT AS doc_id, pos::BIGINT AS pos, coalesce(pos >= min(pos) FILTER (line LIKE '- amended%') OVER (PARTITION BY doc_id), FALSE) AS history FROM t",
-    "part_numbers": """WITH e AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), k AS (SELECT doc_id, length(line)::BIGINT AS key, line, count(*) AS times FROM e GROUP BY ALL)
-SELECT doc_id, CASE WHEN row_number() OVER w = 1 THEN key::VARCHAR ELSE key || '~' || (row_number() OVER w) END AS key, times, count(*) OVER (PARTITION BY doc_id, key) AS parts FROM k WINDOW w AS (PARTITION BY doc_id, key ORDER BY line)""",
     "cleaned_text": r"""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \t\x{a0}]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))) AS sha, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::BIGINT AS tokens FROM documents""",
+    "heading_carry_forward": "WITH " + _sql(LINES, "doc_id, pos, line") + r""", h AS (SELECT *, line LIKE 'Article %' AS head, CASE WHEN regexp_matches(line, '^(CHAPTER|PART) ') THEN line END AS s FROM t),
+c AS (SELECT *, last_value(s IGNORE NULLS) OVER w AS section, sum(head::INT) OVER w AS k FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT *, min(CASE WHEN line LIKE '%هكذا اصبحت%' THEN pos END) OVER (PARTITION BY doc_id, k) AS note FROM c),
+g AS (SELECT doc_id, k, max(CASE WHEN head THEN regexp_extract(line, '^Article ([0-9]+)', 1) END) AS article, min(pos) AS first, max(CASE WHEN head THEN section END) AS section, count(*) FILTER (s IS NULL AND (note IS NULL OR pos < note) AND (NOT head OR regexp_matches(line, '^Article [0-9]+ .'))) AS lines FROM l GROUP BY doc_id, k)
+SELECT doc_id::BIGINT AS doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS place, article, section, lines FROM g WHERE k > 0 OR lines > 0""",
+    "clause_groups": r"""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS x FROM documents), e AS (SELECT doc_id, i AS pos, x[i] AS line FROM l, unnest(range(1, len(x) + 1)) AS u(i)),
+g AS (SELECT *, sum(regexp_matches(line, '(?i)^\s*(?:[ء-ي]\s?[.\-–)](?:\s|$)|[(\[]?[0-9٠-٩]{1,2}[)\]]?\s?[.\-–)]|[.\-]\s?[0-9٠-٩]{1,2}\S|\([a-z0-9]{1,4}\)|[a-z]\))')::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS clause FROM e),
+n AS (SELECT doc_id, clause, count(*) AS lines FROM g GROUP BY 1, 2) SELECT doc_id, clause::BIGINT AS clause, lines FROM n UNION ALL SELECT doc_id, 0, 0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM n WHERE clause = 0) AND text IS NOT NULL""",
+    "definition_split": "WITH " + _sql(LINES, "doc_id, pos, line") + r""", k AS (SELECT *, sum((line LIKE 'Article %')::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM t),
+b AS (SELECT doc_id, k, pos, regexp_replace(line, '^Article [0-9]+ *', '') AS line FROM k WHERE k > 0), d AS (SELECT * FROM b WHERE line <> '' AND (doc_id, k) IN (SELECT (doc_id, k) FROM b WHERE lower(line) LIKE '%the following definitions%')),
+g AS (SELECT *, sum(regexp_matches(line, '^[^:]+:\s*\S')::INT) OVER (PARTITION BY doc_id, k ORDER BY pos) AS n FROM d)
+SELECT doc_id::BIGINT AS doc_id, trim(split_part(string_agg(line, '|' ORDER BY pos) FILTER (n > 0 AND contains(line, ':')), ':', 1)) AS term, max(max(n)) OVER (PARTITION BY doc_id, k)::INT AS part_count, string_agg(line, '|' ORDER BY pos) AS lines FROM (SELECT doc_id, k, pos, line, n, greatest(n, 1) AS own FROM g) GROUP BY doc_id, k, own""",
+    "history_split": "WITH " + _sql(LINES, "doc_id, pos, line") + r""", k AS (SELECT *, sum((line LIKE 'Article %')::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM t WHERE NOT regexp_matches(line, '^(CHAPTER|PART) ')),
+h AS (SELECT doc_id, k, pos, regexp_extract(first_value(line) OVER (PARTITION BY doc_id, k ORDER BY pos), '^Article ([0-9]+)', 1) AS n, regexp_replace(line, '^Article [0-9]+ *', '') AS line, coalesce(pos >= min(pos) FILTER (line LIKE '%هكذا اصبحت%') OVER (PARTITION BY doc_id, k), FALSE) AS past, bool_or(lower(line) LIKE '%the following definitions%') OVER (PARTITION BY doc_id, k) AS terms FROM k)
+SELECT doc_id::BIGINT AS doc_id, CASE WHEN k = 0 THEN 'preamble' ELSE 'art-' || n END || CASE WHEN past THEN '.hist' ELSE '' END AS key, string_agg(line, '|' ORDER BY pos) AS lines, past AS caveat FROM h WHERE line <> '' AND NOT terms GROUP BY doc_id, k, n, past""",
+    "part_numbers": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, len(w), 50)) AS i FROM w)
+SELECT doc_id, count(*) OVER (PARTITION BY doc_id) AS parts, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS part, md5(array_to_string(list_slice(w, i + 1, i + 60), ' ')) AS text FROM s WHERE i = 0 OR i - 50 + 60 < len(w)""",
 }
