@@ -17,46 +17,65 @@ import numpy as np
 
 MAGIC = b"EVS8"
 BLOCK = 1024
+#: Values that are packed at once: enough to share each step's cost, few enough to stay near the processor.
+SLAB = 1 << 18
 #: For each selector the values of a word and their bits; selector 0 is not used.
 LAYOUT = [(0, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 ESCAPE = 15
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
-    """The bits of each value, 1 at least."""
-    out = np.ones(len(values), np.int64)
+    """The least width of the layout, as bits, that holds each value; 61 where none does."""
+    out, most = np.ones(len(values), np.int8), int(values.max())
+    if most < 1 << 32:
+        values = values.astype(np.uint32)
     for b in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60):
-        out[values >= np.uint64(1 << b)] = b + 1
+        if most >= 1 << b:
+            out[values >= values.dtype.type(1 << b)] = b + 1
     return out
 
 
-def _selectors(values: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The selector of a word that began at each value: the one with most values, or with all that are left in the block.
-
-    end: the first position behind each value's block.
-    """
-    n, bits = len(values), _bits(values)
-    out = np.zeros(n, np.int64)
-    at = np.arange(n)
+def _selectors(values: np.ndarray, blocks: int, block: int) -> np.ndarray:
+    """The selector of a word that began at each value: the one with most values, or with all that are left in the block."""
+    n, longest = len(values), LAYOUT[1][0]
+    bits = np.zeros((blocks, block), np.int8)
+    bits.reshape(-1)[:n] = _bits(values)
+    out, widest = np.zeros((blocks, block), np.int8), int(bits.max())
+    # How many values before each place of a block are too wide; places behind the block are filled up with nothing.
+    before = np.zeros((blocks, block + 1 + longest), np.int16 if block < 1 << 15 else np.int64)
     for s in range(len(LAYOUT) - 1, 0, -1):
         count, width = LAYOUT[s]
-        # The first position from each one on that is too wide for this selector.
-        wide = np.where(bits > width, at, n)
-        stop = np.minimum.accumulate(wide[::-1])[::-1]
-        fits = stop >= np.minimum(at + count, end)
-        out[fits] = s
+        if width >= widest:
+            out[:] = s
+            continue
+        np.cumsum(bits > width, axis=1, dtype=before.dtype, out=before[:, 1 : block + 1])
+        before[:, block + 1 :] = before[:, block : block + 1]
+        np.copyto(out, np.int8(s), where=before[:, count : count + block] == before[:, :block])
     out[bits > 60] = ESCAPE
-    return out
+    return out.reshape(-1)[:n]
 
 
 def pack(values: np.ndarray, block: int = BLOCK) -> bytes:
     values = np.ascontiguousarray(values).astype(np.uint64)
-    n = len(values)
-    blocks = -(-n // block)
+    n, slab = len(values), max(1, SLAB // block) * block
     if not n:
         return MAGIC + struct.pack("<IQI", block, 0, 0) + bytes(-20 % 8)
+    offsets, parts, before = [], [], 0
+    for a in range(0, n, slab):
+        starts, words = _pack_blocks(values[a : a + slab], block)
+        offsets.append(starts + before)
+        parts.append(words)
+        before += len(words)
+    head = MAGIC + struct.pack("<IQ", block, n) + np.concatenate([*offsets, [before]]).astype("<u4").tobytes()
+    return head + bytes(-len(head) % 8) + np.concatenate(parts).astype("<u8").tobytes()
+
+
+def _pack_blocks(values: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of whole blocks (the last one may be shorter), and where each block begins in them."""
+    n = len(values)
+    blocks = -(-n // block)
     end = np.minimum((np.arange(n) // block + 1) * block, n)
-    select = _selectors(values, end)
+    select = _selectors(values, blocks, block)
     count = np.array([c for c, _ in LAYOUT] + [1])
     nexts = np.minimum(np.arange(n) + count[select], end)
     # All blocks go on from word to word side by side.
@@ -80,8 +99,7 @@ def pack(values: np.ndarray, block: int = BLOCK) -> bytes:
     words[place] |= np.bitwise_or.reduceat(shifted, first)
     words[place[escaped] + 1] = values[first[escaped]]
     starts = place[np.searchsorted(first, np.arange(blocks) * block)]
-    head = MAGIC + struct.pack("<IQ", block, n) + np.r_[starts, len(words)].astype("<u4").tobytes()
-    return head + bytes(-len(head) % 8) + words.astype("<u8").tobytes()
+    return starts, words
 
 
 def header(data: bytes) -> tuple[int, np.ndarray, int]:
