@@ -97,3 +97,63 @@ def test_classifier_on_odd_tables(spark):
     assert weak_label.classify(spark.createDataFrame([], "doc_id long, text string"), None).count() == 0
     odd = spark.createDataFrame([(None, None), (1, ""), (1, "a b"), (1, "a b"), (2, "z" * 100000)], "doc_id long, text string")
     assert weak_label.classify(odd, weak_label.train(odd)).count() == 5
+
+
+def plain_labels(votes, rounds=100):
+    """Expectation-maximisation document by document, in plain Python."""
+    n, n_l = len(votes), len(votes[0])
+    free = [min(max(sum(v[j] < 0 for v in votes) / n, 0.01), 0.99) for j in range(n_l)]
+    says = [[[free[j]] + [(1 - free[j]) * (0.8 if v == c else 0.2) for v in (0, 1)] for c in (0, 1)] for j in range(n_l)]
+    prior = 0.7
+    for _ in range(rounds):
+        good = []
+        for v in votes:
+            a, b = 1 - prior, prior
+            for j in range(n_l):
+                a, b = a * says[j][0][v[j] + 1], b * says[j][1][v[j] + 1]
+            good.append(b / (a + b))
+        before, says = says, []
+        for j in range(n_l):
+            rows = []
+            for c in (0, 1):
+                sums = [0.5 + sum((g if c else 1 - g) for g, v in zip(good, votes) if v[j] + 1 == k) for k in range(3)]
+                rows.append([x / sum(sums) for x in sums])
+            says.append(rows)
+        prior = min(max(sum(good) / n, 0.02), 0.98)
+        if max(abs(says[j][c][k] - before[j][c][k]) for j in range(n_l) for c in (0, 1) for k in range(3)) < 1e-7:
+            break
+    return prior, says
+
+
+def test_label_model_by_brute_force():
+    rng = np.random.default_rng(3)
+    truth = rng.random(300) < 0.6
+    votes = np.stack([np.where(rng.random(300) < 0.3, -1, np.where(rng.random(300) < r, truth, ~truth)) for r in (0.9, 0.8, 0.7, 0.85)], axis=1)
+    patterns, inverse = np.unique(votes, axis=0, return_inverse=True)
+    got = weak_label.fit_labels(patterns, np.bincount(inverse.ravel()).astype(float))
+    prior, says = plain_labels(votes.tolist())
+    assert abs(got.prior - prior) < 1e-9 and np.abs(got.says - np.array(says)).max() < 1e-9
+
+
+def test_scores_by_brute_force():
+    rng = np.random.default_rng(5)
+    weights = rng.normal(size=weak_label.BUCKETS + 1)
+    texts = ["a b", "", "Word word WORD 12 end.", "x", "same same same other", " \n ", "z" * 5000]
+    got = weak_label.rate(texts, weights)
+    for text, p in zip(texts, got):
+        total = 0.0
+        for t in ([text] if text.split() else []):
+            # One text at a time: what stands beside it in a batch must not change its score.
+            row, bucket, value = weak_label.hashed([t])
+            assert set(row) == {0} and len(row) == 4 * len(t.split())
+            total = sum(weights[b] * v for b, v in zip(bucket.tolist(), value.tolist()))
+        assert abs(p - 1 / (1 + np.exp(-(total + weights[-1])))) < 1e-12
+
+
+def test_classifier_keeps_columns_of_any_name(spark):
+    rows = docs(60)
+    plain = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = weak_label.train(plain)
+    want = {r["doc_id"]: r["kept"] for r in weak_label.classify(plain, model).collect()}
+    named = spark.createDataFrame([(i, t, "mine", 7) for i, t, _ in rows], "doc_id long, text string, votes string, Kept_ int")
+    assert {r["doc_id"]: r["kept"] for r in weak_label.classify(named, model).collect()} == want
