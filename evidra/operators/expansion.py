@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evidra.operators.terms import standing
+
 DEFINITIONS_EACH, DEFINITIONS_ALL, REFERENCES_EACH = 2, 6, 2
 
 
@@ -24,12 +26,19 @@ def references(retrieved: DataFrame, chunks: DataFrame) -> DataFrame:
     return named.join(first, ["version_id", "article_number"]).select("query_id", F.col("chunk_id").alias("related_to"), "rank", F.col("found").alias("chunk_id"), F.lit("cross_reference").alias("relation"), F.lit(1).alias("kind"), F.col("place").cast("long").alias("place"))
 
 
-def definitions(retrieved: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Definitions whose folded term stands in a chunk's folded text, longest terms first, a few for each chunk."""
+def definitions(retrieved: DataFrame, chunks: DataFrame, whole: bool = False) -> DataFrame:
+    """Definitions whose folded term stands in a chunk's folded text, longest terms first, a few for each chunk.
+
+    A question's few chunks meet every term of their version. For whole corpora (whole) that would grow with the square of
+    a version: there one pass over the texts looks all terms up, which are collected before.
+    """
     terms = chunks.where(F.coalesce(F.trim("definition_term"), F.lit("")) != "").select("version_id", F.col("chunk_id").alias("found"), F.col("folded_term").alias("term"))
     own = chunks.where(F.col("chunk_type") != "definitions").select("chunk_id", "version_id", "folded_text")
-    used = retrieved.join(own, "chunk_id").join(terms, "version_id").where(F.contains("folded_text", "term"))
-    place = F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy(F.desc(F.length("term")), "found"))
+    if whole:
+        used = retrieved.join(standing(own, terms, DEFINITIONS_EACH), "chunk_id")
+    else:
+        used = retrieved.join(own, "chunk_id").join(terms, "version_id").where(F.contains("folded_text", "term")).withColumn("size", F.length("term"))
+    place = F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy(F.desc("size"), "found"))
     near = used.withColumn("place", place.cast("long")).where(F.col("place") <= DEFINITIONS_EACH)
     return near.select("query_id", F.col("chunk_id").alias("related_to"), "rank", F.col("found").alias("chunk_id"), F.lit("definition").alias("relation"), F.lit(2).alias("kind"), "place")
 

@@ -114,8 +114,8 @@ def definition_expand(spark, sf_dir):
     """Short documents as terms of their source: two longest that stand in each longer one."""
     docs = table(spark, sf_dir, "documents")
     term = F.when(F.col("n_chars") <= 40, F.regexp_replace(F.col("text"), "[.,]", ""))
-    parts = docs.select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("version_id"), F.when(F.col("n_chars") <= 40, "definitions").otherwise("article").alias("chunk_type"), term.alias("definition_term"), F.lower(term).alias("folded_term"), F.lower("text").alias("folded_text"))
-    return expansion.definitions(_every(parts), parts).select("related_to", "chunk_id", "place")
+    parts = docs.select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("version_id"), F.when(F.col("n_chars") > 40, "article").otherwise("definitions").alias("chunk_type"), term.alias("definition_term"), F.lower(term).alias("folded_term"), F.lower("text").alias("folded_text"))
+    return expansion.definitions(_every(parts).distinct(), parts, whole=True).select("related_to", "chunk_id", "place")
 
 
 QUERIES = {f.__name__: f for f in (law_chunks, law_search, law_search_hybrid, document_chunks, hashing_embed, sibling_expand, crossref_expand, definition_expand)}
